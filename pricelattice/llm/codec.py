@@ -434,7 +434,7 @@ def codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, full: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if `full`, ids (binary, 32-bit) and decoded."""
-    schema = docs.select("doc_id").schema.add("n_tokens", "bigint").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     schema = schema.add("ids", "binary").add("decoded", "string") if full else schema
 
     def run(batches):

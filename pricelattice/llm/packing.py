@@ -112,7 +112,7 @@ def _load(paths: tuple[str, str, str]) -> ByteEncoder:
 
 def tokenized(docs: DataFrame, paths: tuple[str, str, str], end_id: int = END_ID) -> DataFrame:
     """doc_id, source, rid (a row number of its own), n, ids (16-bit little-endian, the end id included)."""
-    schema = docs.select("doc_id", "source").schema.add("rid", "bigint").add("n", "bigint").add("ids", "binary")
+    schema = docs.select("doc_id", "source").schema.add("rid", "long").add("n", "long").add("ids", "binary")
     tail = np.array([end_id], "<u2").tobytes()
 
     def run(batches):
@@ -198,7 +198,7 @@ def pack(docs: DataFrame, paths: tuple[str, str, str], targets: dict | None = No
     state = state.join(line, "block").withColumn("deficit", F.col("share") * F.col("before") - F.col("done"))
     state = state.select("block", F.col("source").alias("_source"), F.col("share").cast("double"), F.col("deficit").cast("double"), F.col("first_sequence").cast("bigint"))
     schema = docs.select("doc_id", "source").schema
-    for name, kind in (("start", "bigint"), ("length", "bigint"), ("ids", "binary"), ("ids_crc32", "bigint"), ("doc_tokens", "bigint"), ("sequence_id", "bigint"), ("offset", "bigint")):
+    for name, kind in (("start", "long"), ("length", "long"), ("ids", "binary"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")):
         schema = schema.add(name, kind)
 
     def run(rows: pa.Table, plan: pa.Table) -> pa.Table:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelattice.llm import codec, packing
+from pricelattice.llm import codec, packing, quality, secrets
 from pricelattice.llm.store import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,14 @@ def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.encode(documents(spark, sf_dir), codec.vocabulary_path(), full=False)
+
+
+@query
+def op4_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.judge(documents(spark, sf_dir)).select(*cols)
+
+
+@query
+def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(secrets.scan(documents(spark, sf_dir))[0])
