@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelattice.llm import codec, packing, quality, secrets
+from pricelattice.llm import codec, langid, packing, quality, secrets, toxicity
 from pricelattice.llm.store import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,24 @@ def op4_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(secrets.scan(documents(spark, sf_dir))[0])
+
+
+def remainder(by: int):
+    return F.crc32(F.col("doc_id").cast("string")) % by
+
+
+@query
+def op1_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    net = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder(3) != 1)
+    s = toxicity.score(docs, net, ["doc_id", "lang"]).withColumn("threshold", toxicity.threshold(net, F.col("lang")))
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False))
+    return s.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("rejected"))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.train(docs, remainder(5) != 0)
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    return langid.predict(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
