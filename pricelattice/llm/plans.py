@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelattice.llm import codec, langid, packing, quality, secrets, toxicity
+from pricelattice.llm import ann, codec, langid, lines, packing, quality, secrets, toxicity
 from pricelattice.llm.store import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs, remainder(5) != 0)
     held_out = F.coalesce(remainder(5) == 0, F.lit(False))
     return langid.predict(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lines.dedup_report(documents(spark, sf_dir))
+    return d.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op10_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, F.col("vec_id") % 100 == 0, ann.index(vectors))
