@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelattice.llm import ann, codec, langid, lines, packing, quality, secrets, toxicity
+from pricelattice.llm import ann, codec, langid, lines, packing, quality, secrets, substrings, toxicity
 from pricelattice.llm.store import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return ann.search(vectors, F.col("vec_id") % 100 == 0, ann.index(vectors))
+
+
+@query
+def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
