@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelattice.llm import ann, codec, langid, lines, packing, quality, secrets, substrings, toxicity
+from pricelattice.llm import ann, codec, langid, lines, neardup, packing, quality, secrets, substrings, toxicity
 from pricelattice.llm.store import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op10_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
