@@ -12,7 +12,7 @@ from pricelattice import schemas
 @dataclass
 class SourceSpec:
     name: str
-    schema: object
+    schema: str
     partition: list[str]
     keys: list[str]
     max_range_months: int = 12
@@ -40,15 +40,15 @@ def load(spark: SparkSession, name: str, path: str) -> DataFrame:
     from pricelattice.sources.readers import read_jsonl
 
     spec = REGISTRY[name]
-    return spec.reader(spark, path) if spec.reader else read_jsonl(spark, path, spec.schema)[0]
+    return spec.reader(spark, path) if spec.reader else read_jsonl(spark, path, getattr(schemas, spec.schema))[0]
 
 
 for _name, _schema, _part, _keys in [
-    ("market", schemas.RETAIL_RAW, ["year", "month", "day"], ["id"]), ("hal_all", schemas.WHOLESALE_BRONZE, ["year", "month"], ["tarih", "sehir", "urun"]),
-    ("gdelt", schemas.NEWS, ["year", "month", "day"], ["id"]), ("akaryakit", schemas.FUEL, ["year", "month", "day"], ["Tarih", "il"]),
-    ("commodities", schemas.COMMODITY, ["year", "month"], ["date", "ticker"]), ("tcmb", schemas.MACRO, ["year", "month"], ["series", "date"]),
-    ("weather", schemas.WEATHER_NESTED, ["year", "month"], ["city_id", "timestamp"]),
+    ("market", "RETAIL_RAW", ["year", "month", "day"], ["id"]), ("hal_all", "WHOLESALE_BRONZE", ["year", "month"], ["tarih", "sehir", "urun"]),
+    ("gdelt", "NEWS", ["year", "month", "day"], ["id"]), ("akaryakit", "FUEL", ["year", "month", "day"], ["Tarih", "il"]),
+    ("commodities", "COMMODITY", ["year", "month"], ["date", "ticker"]), ("tcmb", "MACRO", ["year", "month"], ["series", "date"]),
+    ("weather", "WEATHER_NESTED", ["year", "month"], ["city_id", "timestamp"]),
 ]:
     register(SourceSpec(_name, _schema, _part, _keys))
 for _name in ENERGY_DATASETS:
-    register(SourceSpec(f"epias/{_name}", schemas.ENERGY, ["year", "month"], ["timestamp", "contract"]))
+    register(SourceSpec(f"epias/{_name}", "ENERGY", ["year", "month"], ["timestamp", "contract"]))
