@@ -16,8 +16,8 @@ from pricelattice.llm.store import documents, written
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below their language's calibrated threshold. All labelled rows may teach here."""
     net = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    scored = toxicity.score(docs, net, docs.columns)
-    return scored.filter(F.col("score") < toxicity.threshold(net, F.col("lang"))).select(*docs.columns)
+    scored = toxicity.score(docs, net, docs.columns, "__pl_score")
+    return scored.filter(F.col("__pl_score") < toxicity.threshold(net, F.col("lang"))).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

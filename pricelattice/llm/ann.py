@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pricelattice.llm.store import written
 
-SHARD, DEGREE, BEAM, ALPHA, TOP, QUERY_BLOCK = 4096, 32, 64, 1.2, 10, 2048
+SHARD, DEGREE, BEAM, ALPHA, TOP, QUERY_BLOCK, SPARE = 4096, 32, 64, 1.2, 10, 2048, 8
 
 
 def valid(df: DataFrame) -> DataFrame:
@@ -136,9 +136,35 @@ def build(x: np.ndarray, seed: int = 9) -> Graph:
         g.near[node] = g.prune(node, np.concatenate([found, order[max(0, lo - 8) : lo][None].repeat(len(node), 0)], 1))
         g.link_back(node)
         lo, size = lo + size, min(256, max(1, lo // 4))
+    g.near = np.concatenate([g.near, np.full((len(x), SPARE), -1, np.int32)], 1)
+    _connect(g)
     return g
 
 
+def _connect(g: Graph) -> None:
+    """Pruning may leave far-off nodes without a way in. Each gets an edge from the nearest node that its own search reaches and that has
+    room; so that search now finds it."""
+    reached = np.zeros(len(g.x), bool)
+
+    def walk(start: int) -> None:
+        front = np.array([start])
+        reached[start] = True
+        while len(front):
+            new = np.unique(g.near[front])
+            front = new[(new >= 0) & ~reached[np.maximum(new, 0)]]
+            reached[front] = True
+
+    walk(g.entry)
+    for u in np.flatnonzero(~reached).tolist():
+        if not reached[u]:
+            found = g.beam(g.x[[u]])[0][0]
+            found = found[found >= 0]
+            room = found[(g.near[found] < 0).any(1)]
+            v = int(room[0]) if len(room) else int(np.flatnonzero(reached & (g.near < 0).any(1))[0])
+            g.near[v, int((g.near[v] < 0).argmax())] = u
+            walk(u)
+
+
 def index(vectors: DataFrame, shard_rows: int = SHARD) -> DataFrame:
     """One row per shard: dim, shard, nodes (float64), near (int32), entry, ids (int64) and their node. A written table, for any query."""
     v = valid(vectors)
@@ -180,7 +206,7 @@ def search(vectors: DataFrame, is_query: Column, graphs: DataFrame, top: int = T
             dim = key[0].as_py()
             take = lambda c, k: np.frombuffer(shard.column(c)[0].as_py(), k)
             x = take("nodes", "<f8").reshape(-1, dim)
-            graph = Graph(x, take("near", "<i4").reshape(-1, DEGREE), shard.column("entry")[0].as_py())
+            graph = Graph(x, take("near", "<i4").reshape(-1, DEGREE + SPARE), shard.column("entry")[0].as_py())
             ids, node = take("ids", "<i8"), take("node_of", "<i4")
             by_node = np.argsort(node, kind="stable")  # ids are in order, so each node's are too
             cut = np.searchsorted(node[by_node], np.arange(len(x) + 1))

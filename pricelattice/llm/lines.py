@@ -80,35 +80,36 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def dedup_report(docs: DataFrame) -> DataFrame:
-    """All columns of docs, with repeated chunks removed from text, and n_lines, n_removed (lines)."""
+def dedup_report(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All columns of docs, with repeated chunks removed from text, and the numbers of lines and of removed lines under `names`."""
     table = written(chunk_table(docs), "chunks")
     at = F.struct("doc_id", "line")
     firsts = table.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first <> last or (first.doc_id is null and last.doc_id is not null)").select("digest", "first")
     firsts = written(firsts, "firsts")
     # Bytes of each first occurrence, cut from its own document.
-    wanted = firsts.groupBy(F.col("first.doc_id").alias("_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "digest")).alias("want"))
+    wanted = firsts.groupBy(F.col("first.doc_id").alias("__pl_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "digest")).alias("__pl_want"))
     cut = _apply(docs.select("doc_id", "text"), wanted, _cut_bytes, "digest binary, bytes binary", [])
     bytes_of = cut.dropDuplicates(["digest"])
     others = table.join(firsts, "digest").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))))
-    lists = others.join(bytes_of, "digest").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("line", "lines", "bytes")).alias("want"))
+    lists = others.join(bytes_of, "digest").groupBy(F.col("doc_id").alias("__pl_id")).agg(F.collect_list(F.struct("line", "lines", "bytes")).alias("__pl_want"))
     keep = list(docs.columns)
-    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    schema = StructType([*docs.schema.fields, *[StructField(n, LongType()) for n in names]])
     return _apply(docs, lists, _remove, schema, keep)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """Documents without repeated chunks; n_chars, where there is one, follows the text."""
-    out = dedup_report(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    names = list(docs.columns)
+    out = dedup_report(docs, ("__pl_lines", "__pl_removed"))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("__pl_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return out.select(*names)
 
 
 def _apply(docs: DataFrame, lists: DataFrame, f, schema, keep: list[str]) -> DataFrame:
     """Runs f on documents beside the list of chunks that concern them."""
     how = "left" if keep else "inner"
-    j = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")), how).drop("_id")
+    j = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("__pl_id")), how).drop("__pl_id")
 
     def run(batches):
         for b in batches:
@@ -129,7 +130,7 @@ def _slices_of(b):
 def _cut_bytes(b, keep):
     for lo, hi, part, _, (_, line, _, a, e), _, cut in _slices_of(b):
         digest, raw = [], []
-        for k, want in enumerate(b.column("want")[lo:hi].to_pylist()):
+        for k, want in enumerate(b.column("__pl_want")[lo:hi].to_pylist()):
             place = {int(line[i]): i for i in range(cut[k], cut[k + 1])}
             for w in want:
                 i = place.get(w["line"])
@@ -143,7 +144,7 @@ def _cut_bytes(b, keep):
 def _remove(b, keep):
     for lo, hi, part, bounds, (_, line, n, a, e), offsets, cut in _slices_of(b):
         texts, removed, col = [], [], b.column("text")
-        for k, want in enumerate(b.column("want")[lo:hi].to_pylist()):
+        for k, want in enumerate(b.column("__pl_want")[lo:hi].to_pylist()):
             gone, at, pieces = 0, int(bounds[k]), []
             if want:
                 place = {int(line[i]): i for i in range(cut[k], cut[k + 1])}
@@ -157,4 +158,4 @@ def _remove(b, keep):
             removed.append(gone)
         new = {"text": pa.array(texts, pa.string())}
         cols = [new[c] if c in new else b.column(c)[lo:hi] for c in keep]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64())], names=[*keep, "n_lines", "n_removed"])
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64())], names=[*keep, "__n", "__r"])

@@ -103,9 +103,9 @@ def redacted(text: Column, found: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """Documents with their secrets replaced; all columns stay and n_chars follows the text. Rows meet findings by blob, row by row."""
-    found = scan(docs)[0].filter(F.size("found") > 0).dropDuplicates(["blob"]).select(F.col("blob").alias("_blob"), "found")
-    j = docs.withColumn("_key", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(found, F.col("_key") == F.col("_blob"), "left")
-    j = j.withColumn("text", F.when(F.col("found").isNotNull(), redacted(F.col("text"), F.col("found"))).otherwise(F.col("text")))
+    found = scan(docs)[0].filter(F.size("found") > 0).dropDuplicates(["blob"]).select(F.col("blob").alias("__pl_blob"), F.col("found").alias("__pl_found"))
+    j = docs.withColumn("__pl_key", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(found, F.col("__pl_key") == F.col("__pl_blob"), "left")
+    j = j.withColumn("text", F.when(F.col("__pl_found").isNotNull(), redacted(F.col("text"), F.col("__pl_found"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        j = j.withColumn("n_chars", F.when(F.col("found").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        j = j.withColumn("n_chars", F.when(F.col("__pl_found").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return j.select(*docs.columns)
