@@ -163,9 +163,10 @@ def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, at, n: runs of n windows from window `at` whose words also start in a document of smaller doc_id."""
     occ = written(occurrence_table(docs, width), "occurrences")
     by_anchor = occ.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("digest").alias("d0"), F.max("digest").alias("d1"))
-    shared = by_anchor.filter("lo < hi").select("anchor", (F.col("d0") != F.col("d1")).alias("mixed"))
+    # A table of its own, so that the join's two sides are plain exchanges, of which a hot anchor's partition can be split.
+    shared = written(by_anchor.filter("lo < hi").select("anchor", (F.col("d0") != F.col("d1")).alias("mixed")), "shared_anchors")
     near = written(occ.join(shared, "anchor"), "shared")
-    rep = near.groupBy("anchor", "digest").agg(F.min("doc_id").alias("rep"))
+    rep = written(near.groupBy("anchor", "digest").agg(F.min("doc_id").alias("rep")), "representatives")
     j = near.join(rep, ["anchor", "digest"])
     whole = j.filter("doc_id > rep").select("doc_id", F.col("first").alias("at"), F.col("windows").alias("n"))
     own = j.filter("doc_id = rep and mixed").groupBy("doc_id").agg(F.collect_list(F.struct("first", "windows", "anchor")).alias("want"))
