@@ -55,7 +55,8 @@ def unit_noise(*keys: Column, amplitude: float = 0.05, seed: int = 42) -> Column
 
 
 def final_price(c: Column) -> Column:
-    return F.round(F.greatest(c, F.lit(0.01)), 2)
+    """At least 0.01, two digits; null stays null (greatest() alone would skip it)."""
+    return F.when(c.isNotNull(), F.round(F.greatest(c, F.lit(0.01)), 2))
 
 
 def bbox_area_km2(south: Column, north: Column, west: Column, east: Column) -> Column:

@@ -11,20 +11,20 @@ from pyspark.sql import types as T
 ENCODINGS = ["utf-8", "utf-8-sig", "cp1254", "latin-1"]
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, source_format: str = "json") -> tuple[DataFrame, DataFrame]:
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantine). A line that is no JSON goes to quarantine with its text; one with a wrong type keeps its other fields."""
-    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    raw = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    bad = F.col("_corrupt_record").isNotNull() & F.try_parse_json("_corrupt_record").isNull()
-    return raw.filter(~F.coalesce(bad, F.lit(False))).drop("_corrupt_record"), raw.filter(bad).select("_corrupt_record", F.col("_metadata.file_path").alias("file_path"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_path")).filter("trim(value) <> ''")
+    ok = F.try_parse_json("value").isNotNull()
+    return lines.filter(ok).select(F.from_json("value", schema).alias("_r")).select("_r.*"), lines.filter(~ok).select(F.col("value").alias("_corrupt_record"), "file_path")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str | None = None) -> DataFrame:
-    """CSV under a schema; without an encoding, UTF-8 (its BOM is dropped), or cp1254 where bytes are no UTF-8, decided per file."""
+    """CSV under a schema; without an encoding, UTF-8 (its BOM is dropped), or Turkish single-byte text (Latin-1 with its six
+    letters) where bytes are no UTF-8, decided per file."""
     if encoding:
         return spark.read.schema(schema).option("header", True).option("encoding", encoding).csv(path)
     files = spark.read.format("binaryFile").load(path)
-    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "windows-1254"))
+    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.translate(F.decode("content", "iso-8859-1"), "ÐÝÞðýþ", "ĞİŞğış"))
     lines = files.select("path", F.posexplode(F.split(F.regexp_replace(text, "^﻿", ""), "\r?\n")).alias("_i", "_line")).filter("_i > 0 and trim(_line) <> ''")
     return lines.select(F.from_csv("_line", schema.simpleString()[7:-1].replace(":", " ")).alias("_r")).select("_r.*")
 
