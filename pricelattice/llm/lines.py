@@ -89,7 +89,7 @@ def dedup_report(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_remove
     # Bytes of each first occurrence, cut from its own document.
     wanted = firsts.groupBy(F.col("first.doc_id").alias("__pl_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "digest")).alias("__pl_want"))
     cut = _apply(docs.select("doc_id", "text"), wanted, _cut_bytes, "digest binary, bytes binary", [])
-    bytes_of = cut.dropDuplicates(["digest"])
+    bytes_of = written(cut.dropDuplicates(["digest"]), "bytes")  # so that a hot digest's partition of the next join can be split
     others = table.join(firsts, "digest").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))))
     lists = others.join(bytes_of, "digest").groupBy(F.col("doc_id").alias("__pl_id")).agg(F.collect_list(F.struct("line", "lines", "bytes")).alias("__pl_want"))
     keep = list(docs.columns)
@@ -109,7 +109,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 def _apply(docs: DataFrame, lists: DataFrame, f, schema, keep: list[str]) -> DataFrame:
     """Runs f on documents beside the list of chunks that concern them."""
     how = "left" if keep else "inner"
-    j = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("__pl_id")), how).drop("__pl_id")
+    # A merge join at every size: the lists grow with the input, so they are never broadcast.
+    j = docs.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__pl_id")), how).drop("__pl_id")
 
     def run(batches):
         for b in batches:
