@@ -65,7 +65,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = R
     if ledger is not None:
         reps = reps.join(ledger.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
     r = reps.withColumnsRenamed({"blob": "_blob"})
-    todo = v.join(r, (F.col("blob") == F.col("_blob")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    # A merge join at every size: representatives grow with the input, so they are never broadcast.
+    todo = v.join(r.hint("merge"), (F.col("blob") == F.col("_blob")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     found = F.concat(*[spans_of(F.col("text"), i, *rule) for i, rule in enumerate(RULES)])
     fresh = todo.select("blob", F.array_sort(found).alias("found"))
     new = fresh.filter(F.size("found") > 0).dropDuplicates(["blob"])
