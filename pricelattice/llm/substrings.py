@@ -191,7 +191,7 @@ def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 if key:
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(np.concatenate(doc))), pa.array(np.concatenate(key)), pa.array(np.concatenate(at))], names=schema.names)
 
-    fine = written(docs.select("doc_id", "text").join(own, "doc_id").mapInArrow(run, schema), "windows")
+    fine = written(docs.select("doc_id", "text").join(own.hint("merge"), "doc_id").mapInArrow(run, schema), "windows")
     first = fine.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key", "lo")
     single = fine.join(first, "key").filter("doc_id > lo").select("doc_id", "at", F.lit(1).alias("n"))
     return whole.unionByName(single)
@@ -200,7 +200,7 @@ def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words joined by one blank)."""
     gone = repeated(docs, width).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
-    j = docs.select("doc_id", "text").join(gone, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    j = docs.select("doc_id", "text").join(gone.hint("merge"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     schema = docs.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
 
     def run(batches):
