@@ -27,6 +27,8 @@ from pricelattice.llm.kernel import Spans, combine, mix, slices, text_buffers
 from pricelattice.llm.store import written
 
 WIDTH, ROUNDS = 50, "RPPPPRPPPP"
+#: Bytes of text worked on at once: all rounds of a slice are held together, some 100 bytes for each byte of text.
+SLICE = 1 << 18
 _Q = 0x9E3779B97F4A7C15
 _QINV = pow(_Q, -1, 1 << 64)
 _NEVER = 1 << 40
@@ -137,7 +139,7 @@ def anchors(words: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple
 
 def _rows(b):
     data, off = text_buffers(b.column("text"))
-    for lo, hi in slices(off):
+    for lo, hi in slices(off, SLICE):
         yield lo, hi, Spans(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
 
 
@@ -174,13 +176,12 @@ def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            want = b.column("want").to_pylist()
             for lo, hi, s in _rows(b):
                 h = WindowHash(s.hashes())
                 doc, key, at = [], [], []
                 for k in range(lo, hi):
                     w0, w1 = int(s.doc[k - lo]), int(s.doc[k - lo + 1])
-                    for w in want[k]:
+                    for w in b.column("want")[k].as_py():
                         n = w["windows"]
                         if w0 + w["first"] + n + width - 1 > w1:
                             continue  # another row of this doc_id
