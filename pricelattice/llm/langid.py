@@ -43,6 +43,11 @@ def grams(data: np.ndarray, bounds: np.ndarray):
             yield (mix(h[ok] + np.uint64(order)) >> np.uint64(64 - BITS)).astype(np.int64), doc[:m][ok]
 
 
+def unit(key: Column, seed: int) -> Column:
+    """A number from 0 to 1, the same for the same key."""
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+
 def sample(docs: DataFrame, usable: Column, per_class: int, label: str, seed: int) -> DataFrame:
     """About per_class rows of each class, by hash of doc_id; class counts are one aggregate over two narrow columns."""
     known = docs.filter(usable & F.col(label).isNotNull())
@@ -50,8 +55,7 @@ def sample(docs: DataFrame, usable: Column, per_class: int, label: str, seed: in
     if not counts:
         return known.limit(0)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_class / n))])
-    u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return known.filter((u < share[F.col(label)]) & (F.octet_length("text") <= MAX_BYTES))
+    return known.filter((unit(F.col("doc_id"), seed) < share[F.col(label)]) & (F.octet_length("text") <= MAX_BYTES))
 
 
 class Model:
