@@ -132,11 +132,24 @@ def first_rule_join(key: Column, rules: list[tuple[int, str, str]], both_ways: b
     return F.when(F.length(key) > 0, F.try_element_at(hit, F.lit(1))["t"])
 
 
-def block_similarity(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, threshold: float) -> DataFrame:
-    """Token Jaccard of names that share a rare enough token (blocking equi-join), then the exact ratio."""
-    tok = lambda df, i: df.select(F.col(i), F.array_distinct(F.split(F.trim(F.lower(F.col(text))), r"\s+")).alias(f"_t_{i}"))
-    l, r = tok(left, left_id), tok(right, right_id)
-    pairs = l.withColumn("_b", F.explode(f"_t_{left_id}")).join(r.withColumn("_b", F.explode(f"_t_{right_id}")), "_b").drop("_b").dropDuplicates([left_id, right_id])
-    inter = F.size(F.array_intersect(f"_t_{left_id}", f"_t_{right_id}"))
-    sim = inter / F.size(F.array_union(f"_t_{left_id}", f"_t_{right_id}"))
-    return pairs.withColumn("similarity", sim).filter(F.col("similarity") >= threshold).select(left_id, right_id, "similarity")
+def block_similarity(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, threshold: float, within: tuple[str, ...] = (), sep: str = r"\s+") -> DataFrame:
+    """Every pair of names whose token sets have a Jaccard similarity of at least `threshold` (above 0), among rows equal in `within`.
+
+    Equal token sets are compared once. A set is blocked by its rarest tokens only: of n tokens, n - ceil(threshold * n) + 1, since two
+    sets that share none of those cannot reach the threshold. Null names have no pairs.
+    """
+    if threshold <= 0:
+        raise ValueError("threshold must be above 0")
+    keys = [f"_k{i}" for i in range(len(within))]
+    words = F.array_sort(F.array_distinct(F.split(F.trim(F.lower(F.col(text))) if sep == r"\s+" else F.lower(F.col(text)), sep)))
+    rows = lambda df, i, w: df.select(F.col(i), *[F.col(c).alias(k) for c, k in zip(within, keys, strict=True)], words.alias(w)).filter(F.col(w).isNotNull())
+    l, r = rows(left, left_id, "_wa"), rows(right, right_id, "_wb")
+    sets = l.select(*keys, F.col("_wa").alias("_w")).unionByName(r.select(*keys, F.col("_wb").alias("_w"))).distinct()
+    tokens = sets.withColumn("_t", F.explode("_w"))
+    ranked = tokens.join(tokens.groupBy("_t").agg(F.count("*").alias("_n")), "_t").groupBy(*keys, "_w").agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("_by"))
+    many = F.size("_w") - F.ceil(F.size("_w") * threshold - 1e-9).cast("int") + 1
+    blocks = ranked.select(*keys, "_w", F.explode(F.slice("_by", F.lit(1), many)).alias("_b")).select(*keys, "_w", F.col("_b._t").alias("_t"))
+    pairs = blocks.withColumnRenamed("_w", "_wa").join(blocks.withColumnRenamed("_w", "_wb"), [*keys, "_t"]).select(*keys, "_wa", "_wb").distinct()
+    sim = F.size(F.array_intersect("_wa", "_wb")) / F.size(F.array_union("_wa", "_wb"))
+    pairs = pairs.withColumn("similarity", sim).filter(F.col("similarity") >= threshold)
+    return l.join(pairs, [*keys, "_wa"]).join(r, [*keys, "_wb"]).select(left_id, right_id, "similarity")
