@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def price_changes(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
@@ -48,13 +50,24 @@ def running_product(df: DataFrame, by: list[str], order: list[str], rate: str) -
 def clamped_balance(df: DataFrame, by: list[str], at: str, delta: Column, start: float = 75.0, lo: float = 0.0, hi: float = 150.0) -> DataFrame:
     """state[t] = clamp(state[t-1] + delta[t], lo, hi) in one chain per key.
 
-    x -> clamp(x + d, lo, hi) composes to maps of the same form min(max(x + a, b), c), so the chain is a prefix composition. Here
-    a key's series (days of one place) is folded in one array; a null delta leaves the state as it is.
+    Each key's rows are sorted and the state is carried from row to row in constant memory: one step a row, however long the series (a
+    two-sided clamp is no window frame). Equal times go by delta; a null delta leaves the state as it is.
     """
-    s = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.coalesce(delta, F.lit(0.0)).alias("d")))).alias("_s"))
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["at"].alias("at"), F.least(F.lit(hi), F.greatest(F.lit(lo), F.coalesce(F.try_element_at(acc, F.lit(-1))["state"], F.lit(start)) + x["d"])).alias("state"))))
-    zero = F.expr(f"cast(array() as array<struct<at:{df.schema[at].dataType.simpleString()},state:double>>)")
-    return s.select(*by, F.explode(F.aggregate("_s", zero, step)).alias("_r")).select(*by, F.col("_r.at").alias(at), F.col("_r.state").alias("state"))
+    w = Window.partitionBy(*by).orderBy("_at", "_d")
+    s = df.select(*by, F.col(at).alias("_at"), F.coalesce(delta.cast("double"), F.lit(0.0)).alias("_d")).withColumn("_n", F.row_number().over(w))
+    schema = StructType([*[df.schema[c] for c in by], df.schema[at], StructField("state", DoubleType())])
+
+    def run(batches):
+        x = start
+        for b in batches:
+            out = []
+            for n, d in zip(b.column("_n").to_pylist(), b.column("_d").to_pylist(), strict=True):
+                x = (start if n == 1 else x) + d
+                x = min(hi, max(lo, x)) if x == x else hi  # NaN is the greatest number, as in SQL
+                out.append(x)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(by) + 1], pa.array(out, pa.float64())], names=schema.names)
+
+    return s.mapInArrow(run, schema)
 
 
 def last_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

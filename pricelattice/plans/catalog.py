@@ -471,7 +471,16 @@ def running_growth(spark, d):
 r(user_id, day, n, state) as (select user_id, day, n, least(150.0, greatest(0.0, 75 + d)) from o where n = 1 union all select o.user_id, o.day, o.n, least(150.0, greatest(0.0, r.state + o.d)) from r join o on o.user_id = r.user_id and o.n = r.n + 1)
 select user_id, day, round(state, 6) as state from r""")
 def clamped_balance(spark, d):
-    s = table(spark, d, "events").filter("user_id % 5 = 0").groupBy("user_id", _day().alias("day")).agg((F.sum("value") - 60).alias("d"))
+    return _balance(table(spark, d, "events").filter("user_id % 5 = 0"))
+
+
+@query(ORACLES["clamped_balance"].replace(" where user_id % 5 = 0", ""))
+def clamped_balance_all(spark, d):
+    return _balance(table(spark, d, "events"))
+
+
+def _balance(events):
+    s = events.groupBy("user_id", _day().alias("day")).agg((F.sum("value") - 60).alias("d"))
     return windows.clamped_balance(s, ["user_id"], "day", F.col("d")).select("user_id", "day", _r(F.col("state")).alias("state"))
 
 

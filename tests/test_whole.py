@@ -1,8 +1,12 @@
 """Whole tables: queries whose older twin reads a slice, held against brute force."""
 
+from collections import defaultdict
+
 import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
 
-from pricelattice.operators import joins
+from pricelattice.operators import joins, windows
 from pricelattice.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +31,25 @@ def test_block_similarity_against_all_pairs(spark):
         want = {(i, j) for i, v in enumerate(sets) for j, w in enumerate(sets) if v and w and (j - i) % 2 == 0 and len(v & w) / len(v | w) >= least}
         got = joins.block_similarity(d, d.withColumnRenamed("l", "r"), "l", "r", "n", least, ("k",)).collect()
         assert len(got) == len(want) and {(r.l, r.r) for r in got} == want
+
+
+def test_clamped_balance_of_every_user(spark):
+    day = defaultdict(float)
+    for r in read("events"):
+        day[r["user_id"], r["ts"].date()] += r["value"]
+    want, state = {}, {}
+    for u, at in sorted(day):
+        state[u] = min(150.0, max(0.0, state.get(u, 75.0) + day[u, at] - 60))
+        want[u, at] = state[u]
+    got = {(r.user_id, r.day): r.state for r in catalog.clamped_balance_all(spark, SF).collect()}
+    assert got == pytest.approx(want, abs=2e-6) and len({u for u, _ in got}) == len({r["user_id"] for r in read("events")})
+
+
+def test_clamped_balance_of_a_long_series(spark):
+    n = 200_000  # an array that is copied at every step would need 10^10 steps
+    d = spark.range(n).select((F.col("id") % 2).alias("k"), "id", F.when(F.col("id") % 7 > 0, (F.col("id") * 7919) % 101 - 50.0).alias("d"))
+    x = [75.0, 75.0]
+    for i in range(n):
+        x[i % 2] = min(150.0, max(0.0, x[i % 2] + (i * 7919 % 101 - 50.0 if i % 7 else 0.0)))
+    out = windows.clamped_balance(d, ["k"], "id", F.col("d"))
+    assert out.count() == n and [r.state for r in out.filter(f"id >= {n - 2}").orderBy("k").collect()] == x
