@@ -1,9 +1,12 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined chunks of lines and by every two neighbouring lines.
 
 A rolling hash over the hashes of each two neighbouring lines chooses chunk ends (about one line in DIVISOR), so inserting or deleting
-lines moves no boundary but the nearest. Chunks of two lines or more with a word are named by a 128-bit digest of their bytes. A name
-that occurs more than once keeps its first occurrence, by (doc_id, line); the others are compared with the first one's bytes and, where
-equal, their lines go.
+lines moves no boundary but the nearest. Chunk ends seldom fall on both ends of a passage that stands in otherwise different documents,
+so each two neighbouring lines are a passage of their own: a run of two lines or more that is said again is covered by such pairs from end
+to end, wherever it begins. Chunks count beside them where they hold two neighbouring lines without a word, which make no pair. Passages
+with a word are named by a 128-bit digest of their bytes. A name that occurs more than once keeps its first occurrence, by (doc_id,
+line); the others are compared with the first one's bytes and, where equal, their lines go. Two occurrences of a pair of equal lines that
+overlap the first are not a repeat. The first occurrence of a line always stays; of a passage, those lines that no earlier passage covers.
 
 Lines are what "\\n" separates. Null text stays null and has no lines; rows of one doc_id count as one document (its first occurrences
 stay in each of its rows); a null doc_id is an id that sorts first; all columns of the input stay, with n_lines and n_removed added by
@@ -60,9 +63,37 @@ def chunks(data: np.ndarray, bounds: np.ndarray):
     return (doc[begin], begin - offsets[doc[begin]], stop - begin + 1, start[begin], end[stop] - newline[stop]), offsets
 
 
+def passages(data: np.ndarray, bounds: np.ndarray):
+    """(document, first line, lines, first byte, end byte, whether its two lines are equal) arrays of passages with a word, sorted by
+    document and line; start of each line; line offsets by document."""
+    (cdoc, cline, cn, ca, ce), offsets = chunks(data, bounds)
+    start, _ = line_bounds(data, bounds)
+    if not len(start):
+        z = np.zeros(0, np.int64)
+        return (z, z, z, z, z, z), start, offsets
+    end = np.append(start[1:], len(data))
+    end = end - (data[end - 1] == 10)
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(offsets))
+    words = np.concatenate([[0], np.cumsum(~BLANK[data])])
+    i = np.flatnonzero(doc[1:] == doc[:-1])
+    some = words[end[i + 1]] > words[start[i]]
+    none = np.zeros(len(doc) + 1, np.int64)
+    none[i[~some] + 1] = 1
+    none = np.cumsum(none)  # pairs without a word that begin before each line
+    i = i[some]
+    h = hash_spans(data, start, end, data != 10)
+    even = (h[i] == h[i + 1]) & (end[i] - start[i] == end[i + 1] - start[i + 1])
+    at = cline + offsets[cdoc]
+    c = np.flatnonzero((cn > 2) & (words[ce] > words[ca]) & (none[at + cn - 1] > none[at]))
+    cols = [(doc[i], cdoc[c]), (i - offsets[doc[i]], cline[c]), (np.full(len(i), 2), cn[c]), (start[i], ca[c]), (end[i + 1], ce[c]), (even, np.zeros(len(c), bool))]
+    cols = [np.concatenate(x) for x in cols]
+    order = np.lexsort((cols[2], cols[1], cols[0]))
+    return tuple(x[order] for x in cols), start, offsets
+
+
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, line, lines of every chunk of two lines or more that holds a word."""
-    schema = docs.select("doc_id").schema.add("digest", "binary").add("line", "integer").add("lines", "integer")
+    """digest, doc_id, line, lines, even (two equal lines) of every passage."""
+    schema = docs.select("doc_id").schema.add("digest", "binary").add("line", "integer").add("lines", "integer").add("even", "boolean")
 
     def run(batches):
         for b in batches:
@@ -70,27 +101,26 @@ def chunk_table(docs: DataFrame) -> DataFrame:
             ids = b.column("doc_id")
             for lo, hi in slices(off):
                 part = data[off[lo] : off[hi]]
-                (doc, line, n, a, e), _ = chunks(part, off[lo : hi + 1] - off[lo])
-                words = np.concatenate([[0], np.cumsum(~BLANK[part])])
-                use = np.flatnonzero((n > 1) & (words[e] > words[a]))
+                (doc, line, n, a, e, even), _, _ = passages(part, off[lo : hi + 1] - off[lo])
                 raw = part.tobytes()
-                digest = [hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(a[use].tolist(), e[use].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[use] + lo)), pa.array(digest, pa.binary()), pa.array(line[use], pa.int32()), pa.array(n[use], pa.int32())], names=schema.names)
+                digest = [hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(a.tolist(), e.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + lo)), pa.array(digest, pa.binary()), pa.array(line, pa.int32()), pa.array(n, pa.int32()), pa.array(even, pa.bool_())], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def dedup_report(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
-    """All columns of docs, with repeated chunks removed from text, and the numbers of lines and of removed lines under `names`."""
+    """All columns of docs, with repeated passages removed from text, and the numbers of lines and of removed lines under `names`."""
     table = written(chunk_table(docs), "chunks")
-    at = F.struct("doc_id", "line")
+    at = F.struct("doc_id", "line", "lines")
     firsts = table.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first <> last or (first.doc_id is null and last.doc_id is not null)").select("digest", "first")
     firsts = written(firsts, "firsts")
     # Bytes of each first occurrence, cut from its own document.
-    wanted = firsts.groupBy(F.col("first.doc_id").alias("__pl_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "digest")).alias("__pl_want"))
+    wanted = firsts.groupBy(F.col("first.doc_id").alias("__pl_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), F.col("first.lines").alias("lines"), "digest")).alias("__pl_want"))
     cut = _apply(docs.select("doc_id", "text"), wanted, _cut_bytes, "digest binary, bytes binary", [])
     bytes_of = written(cut.dropDuplicates(["digest"]), "bytes")  # so that a hot digest's partition of the next join can be split
-    others = table.join(firsts, "digest").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))))
+    on_first = (F.col("line") == F.col("first.line")) | (F.col("even") & (F.col("line") == F.col("first.line") + 1))
+    others = table.join(firsts, "digest").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & on_first))
     lists = others.join(bytes_of, "digest").groupBy(F.col("doc_id").alias("__pl_id")).agg(F.collect_list(F.struct("line", "lines", "bytes")).alias("__pl_want"))
     keep = list(docs.columns)
     schema = StructType([*docs.schema.fields, *[StructField(n, LongType()) for n in names]])
@@ -98,7 +128,7 @@ def dedup_report(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_remove
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """Documents without repeated chunks; n_chars, where there is one, follows the text."""
+    """Documents without repeated passages; n_chars, where there is one, follows the text."""
     names = list(docs.columns)
     out = dedup_report(docs, ("__pl_lines", "__pl_removed"))
     if "n_chars" in names:
@@ -107,7 +137,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def _apply(docs: DataFrame, lists: DataFrame, f, schema, keep: list[str]) -> DataFrame:
-    """Runs f on documents beside the list of chunks that concern them."""
+    """Runs f on documents beside the list of passages that concern them."""
     how = "left" if keep else "inner"
     # A merge join at every size: the lists grow with the input, so they are never broadcast.
     j = docs.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__pl_id")), how).drop("__pl_id")
@@ -123,18 +153,22 @@ def _slices_of(b):
     data, off = text_buffers(b.column("text"))
     for lo, hi in slices(off):
         part, bounds = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-        c, offsets = chunks(part, bounds)
+        c, start, offsets = passages(part, bounds)
         cut = np.searchsorted(c[0], np.arange(hi - lo + 1)).tolist()
-        yield lo, hi, part, bounds, c, offsets, cut
+        yield lo, hi, part, bounds, c, start, offsets, cut
+
+
+def _places(line, n, lo: int, hi: int) -> dict:
+    return {k: i for i, k in enumerate(zip(line[lo:hi].tolist(), n[lo:hi].tolist(), strict=True), lo)}
 
 
 def _cut_bytes(b, keep):
-    for lo, hi, part, _, (_, line, _, a, e), _, cut in _slices_of(b):
+    for lo, hi, part, _, (_, line, n, a, e, _), _, _, cut in _slices_of(b):
         digest, raw = [], []
         for k, want in enumerate(b.column("__pl_want")[lo:hi].to_pylist()):
-            place = {int(line[i]): i for i in range(cut[k], cut[k + 1])}
+            place = _places(line, n, cut[k], cut[k + 1])
             for w in want:
-                i = place.get(w["line"])
+                i = place.get((w["line"], w["lines"]))
                 x = part[a[i] : e[i]].tobytes() if i is not None else b""
                 if i is not None and hashlib.blake2b(x, digest_size=16).digest() == w["digest"]:
                     digest.append(w["digest"])
@@ -143,20 +177,22 @@ def _cut_bytes(b, keep):
 
 
 def _remove(b, keep):
-    for lo, hi, part, bounds, (_, line, n, a, e), offsets, cut in _slices_of(b):
+    for lo, hi, part, bounds, (_, line, n, a, e, _), start, offsets, cut in _slices_of(b):
         texts, removed, col = [], [], b.column("text")
         for k, want in enumerate(b.column("__pl_want")[lo:hi].to_pylist()):
-            gone, at, pieces = 0, int(bounds[k]), []
+            gone = np.zeros(offsets[k + 1] - offsets[k], bool)
             if want:
-                place = {int(line[i]): i for i in range(cut[k], cut[k + 1])}
-                for w in sorted(want, key=lambda w: w["line"]):
-                    i = place.get(w["line"])
-                    if i is not None and a[i] >= at and part[a[i] : e[i]].tobytes() == w["bytes"]:
-                        pieces.append(part[at : a[i]].tobytes())
-                        at = min(int(e[i]) + 1, int(bounds[k + 1]))  # the chunk's last newline goes with it
-                        gone += int(n[i])
-            texts.append(b"".join([*pieces, part[at : bounds[k + 1]].tobytes()]).decode("utf-8", "replace") if gone else col[lo + k].as_py())
-            removed.append(gone)
+                place = _places(line, n, cut[k], cut[k + 1])
+                for w in want:
+                    i = place.get((w["line"], w["lines"]))
+                    if i is not None and part[a[i] : e[i]].tobytes() == w["bytes"]:
+                        gone[w["line"] : w["line"] + w["lines"]] = True
+            if gone.any():
+                ends = np.append(start[offsets[k] : offsets[k + 1]], bounds[k + 1])  # a line's newline goes with it
+                texts.append(part[bounds[k] : bounds[k + 1]][np.repeat(~gone, np.diff(ends))].tobytes().decode("utf-8", "replace"))
+            else:
+                texts.append(col[lo + k].as_py())
+            removed.append(int(gone.sum()))
         new = {"text": pa.array(texts, pa.string())}
         cols = [new[c] if c in new else b.column(c)[lo:hi] for c in keep]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64())], names=[*keep, "__n", "__r"])
