@@ -393,6 +393,15 @@ def source_priority(spark, d):
     return dedup.by_priority([("harvest", a), ("general", b)], ["k"])
 
 
+@query("""with a as (select c_nationkey as k, max(c_acctbal) as v from customer group by 1), b as (select s_nationkey + 10 as k, max(s_acctbal) as v from supplier group by 1)
+select k, v, 'harvest' as source from a union all select k, v, 'general' from b where k not in (select k from a)""")
+def source_priority_all(spark, d):
+    # Keys moved by 10 overlap in part though every row of both sources is read.
+    a = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.max("c_acctbal").alias("v"))
+    b = table(spark, d, "supplier").groupBy((F.col("s_nationkey") + 10).alias("k")).agg(F.max("s_acctbal").alias("v"))
+    return dedup.by_priority([("harvest", a), ("general", b)], ["k"])
+
+
 @query("select c_name as name, c_acctbal as balance, c_mktsegment as segment from customer union all select s_name, s_acctbal, null from supplier")
 def union_by_name(spark, d):
     a = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
@@ -521,7 +530,16 @@ def join_list(spark, d):
 @query("""with b as (select s_suppkey, 36.0 + (s_suppkey % 5) * 0.1 as south, 36.0 + (s_suppkey % 5) * 0.1 + 0.05 as north, 27.0 as west, 27.04 as east from supplier where s_suppkey <= 20)
 select s_suppkey, count(*) as points from b, range(0, 100) i(i), range(0, 100) j(j) where i.i <= floor((north - south + 1e-9) / 0.01) and j.j <= floor((east - west + 1e-9) / 0.01) group by 1""")
 def grid_generation(spark, d):
-    b = table(spark, d, "supplier").filter("s_suppkey <= 20").selectExpr("s_suppkey", "double(36.0D + (s_suppkey % 5) * 0.1D) as south", "36.0D + (s_suppkey % 5) * 0.1D + 0.05D as north", "27.0D as west", "27.04D as east")
+    return _grid(table(spark, d, "supplier").filter("s_suppkey <= 20"))
+
+
+@query(ORACLES["grid_generation"].replace(" where s_suppkey <= 20", ""))
+def grid_generation_all(spark, d):
+    return _grid(table(spark, d, "supplier"))
+
+
+def _grid(supplier):
+    b = supplier.selectExpr("s_suppkey", "double(36.0D + (s_suppkey % 5) * 0.1D) as south", "36.0D + (s_suppkey % 5) * 0.1D + 0.05D as north", "27.0D as west", "27.04D as east")
     return reshape.grid_points(b, F.lit(0.01)).groupBy("s_suppkey").agg(F.count("*").alias("points"))
 
 

@@ -53,3 +53,20 @@ def test_clamped_balance_of_a_long_series(spark):
         x[i % 2] = min(150.0, max(0.0, x[i % 2] + (i * 7919 % 101 - 50.0 if i % 7 else 0.0)))
     out = windows.clamped_balance(d, ["k"], "id", F.col("d"))
     assert out.count() == n and [r.state for r in out.filter(f"id >= {n - 2}").orderBy("k").collect()] == x
+
+
+def test_every_supplier_has_a_grid(spark):
+    got = {r.s_suppkey: r.points for r in catalog.grid_generation_all(spark, "/root/testdata/sf0.01").collect()}
+    keys = pq.read_table("/root/testdata/sf0.01/supplier.parquet")["s_suppkey"].to_pylist()
+    assert got == {k: 6 * 5 for k in keys} and len(keys) > 20
+
+
+def test_source_priority_reads_every_key(spark):
+    a, b = defaultdict(list), defaultdict(list)
+    for r in read("customer"):
+        a[r["c_nationkey"]].append(r["c_acctbal"])
+    for r in read("supplier"):
+        b[r["s_nationkey"] + 10].append(r["s_acctbal"])
+    want = {k: (max(v), "general") for k, v in b.items()} | {k: (max(v), "harvest") for k, v in a.items()}
+    assert {r.k: (r.v, r.source) for r in catalog.source_priority_all(spark, SF).collect()} == want
+    assert set(a) & set(b) and set(b) - set(a) and set(a) - set(b)
