@@ -1,25 +1,31 @@
 """Quality rules with thresholds that adapt to each language and source. DataFrame functions only.
 
-Counts of every text are made once and written as a narrow table. Per (lang, source) a KLL sketch of each measure is aggregated (map
-side first, so a hot source sends one sketch per task); sketches merge into those of the language and of everything, which stand in
-where a group has fewer than MIN_GROUP documents that pass the base rules. A document is kept if no measure lies above its group's
-fence: median + SPREAD x (90th percentile - median) + slack. The verdict joins the fences back on (lang, source).
+Counts of every text are made once and written as a narrow table. Per (lang, source) each measure has a quantile sketch: counts of values
+by logarithmic bins, (GAMMA ** (b - 1), GAMMA ** b] being bin b and zero a bin of its own. Such sketches are aggregated map side first, so
+a hot source sends each task's few bins; they merge by adding counts, have a relative error of GAMMA - 1 at most and depend on the data
+alone, not on its order or partitions. Merged sketches of the language and of everything stand in where a group has fewer than MIN_GROUP
+documents that pass the base rules. A document is kept if no measure lies above its group's fence: median + SPREAD x (90th percentile -
+median) + slack, quantiles being the upper ends of their bins. The verdict joins the fences back on (lang, source).
 
 Null text has no words (base_failed); null lang or source is a group of its own; repeated rows and null or repeated doc_id are judged
-row by row; extra columns are ignored; an empty table gives no rows. Sketches are random beyond their exact size, so a document within
-a sketch's error (about 1.3 percent in rank) of a fence may be judged either way on two runs.
+row by row; extra columns are ignored; an empty table gives no rows; if all documents fail the base rules there are no fences and none is
+kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelattice.llm.store import written
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-MIN_WORDS, MIN_GROUP, SPREAD, K = 50, 100, 4.0, 200
+MIN_WORDS, MIN_GROUP, SPREAD, GAMMA = 50, 100, 4.0, 1.005
+#: Bin of zero, below all others.
+ZERO = -1_000_000
 #: Measures and the slack that each fence has.
 MEASURES = {"symbol_share": 0.02, "word_length": 2.0, "dup_line_share": 0.10, "repeat_share": 0.10}
 
@@ -68,22 +74,41 @@ def with_measures(f: DataFrame) -> DataFrame:
     })
 
 
+def sketches(measured: DataFrame) -> DataFrame:
+    """lang, source, measure, bin, n of the documents that pass the base rules."""
+    one = lambda m: F.struct(F.lit(m).alias("measure"), F.when(F.col(m) > 0, F.ceil(F.log(F.col(m)) / math.log(GAMMA)).cast("int")).otherwise(ZERO).alias("bin"))
+    d = measured.filter("not base_failed").select("lang", "source", F.inline(F.array(*[one(m) for m in MEASURES])))
+    return d.groupBy("lang", "source", "measure", "bin").agg(F.count("*").alias("n"))
+
+
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, measure, total, mid, high of sketches merged over all but `keys`. A window holds the bins of one sketch: their number is
+    bounded by the range of a measure."""
+    own = [*keys, "measure"]
+    merged = sketch.groupBy(*own, "bin").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*own).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = merged.withColumn("upto", upto).withColumn("total", F.sum("n").over(Window.partitionBy(*own)))
+    value = lambda q: F.min(F.when(F.col("upto") >= F.ceil(q * F.col("total")), F.col("bin")))
+    end = lambda b: F.when(b == ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), b))
+    return ranked.groupBy(*own).agg(F.first("total").alias("total"), value(0.5).alias("mid"), value(0.9).alias("high")).withColumns({"mid": end(F.col("mid")), "high": end(F.col("high"))})
+
+
 def fences(measured: DataFrame) -> DataFrame:
     """lang, source, level (0 own group, 1 language, 2 all) and the upper fence of each measure."""
-    ok = measured.filter("not base_failed")
-    own = ok.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m, F.lit(K)).alias(m) for m in MEASURES])
-    own = written(own, "sketches")
-    merge = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, F.lit(K)).alias(m) for m in MEASURES]]
-    rename = lambda df, p: df.select(*[F.col(c).alias(p + c) if c != "lang" else F.col(c).alias(p + c) for c in df.columns])
-    lang, every = rename(own.groupBy("lang").agg(*merge), "l_"), rename(own.agg(*merge), "a_")
-    j = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(F.broadcast(every), F.lit(True), "left")  # one row
-    level = F.when(F.col("n") >= MIN_GROUP, 0).when(F.col("l_n") >= MIN_GROUP, 1).otherwise(2)
-    out = {}
-    for m, slack in MEASURES.items():
-        sketch = F.when(F.col("level") == 0, F.col(m)).when(F.col("level") == 1, F.col("l_" + m)).otherwise(F.col("a_" + m))
-        mid, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.5, 0.9))
-        out["max_" + m] = mid + SPREAD * (high - mid) + slack
-    return j.withColumn("level", level).select("lang", "source", "level", *[c.alias(k) for k, c in out.items()])
+    sketch = written(sketches(measured), "sketches")
+
+    def level(keys: list[str], prefix: str) -> DataFrame:
+        """One row per group: its size and fences."""
+        q = quantiles(sketch, keys)
+        fence = lambda m, slack: F.max(F.when(F.col("measure") == m, F.col("mid") + SPREAD * (F.col("high") - F.col("mid")) + slack)).alias(prefix + m)
+        g = q.groupBy(*keys).agg(F.first("total").alias(prefix + "n"), *[fence(m, slack) for m, slack in MEASURES.items()])
+        return g.withColumnsRenamed({k: prefix + k for k in keys})
+
+    own, lang, every = level(["lang", "source"], "o_"), level(["lang"], "l_"), level([], "a_")
+    j = own.join(lang, F.col("o_lang").eqNullSafe(F.col("l_lang")), "left").join(F.broadcast(every), F.lit(True), "left")  # one row
+    pick = F.when(F.col("o_n") >= MIN_GROUP, 0).when(F.col("l_n") >= MIN_GROUP, 1).otherwise(2)
+    of = lambda m: F.when(F.col("level") == 0, F.col("o_" + m)).when(F.col("level") == 1, F.col("l_" + m)).otherwise(F.col("a_" + m))
+    return j.withColumn("level", pick).select(F.col("o_lang").alias("lang"), F.col("o_source").alias("source"), "level", *[of(m).alias("max_" + m) for m in MEASURES])
 
 
 def judge(docs: DataFrame) -> DataFrame:
