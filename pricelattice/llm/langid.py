@@ -5,9 +5,11 @@ kind), hashed into BUCKETS rows; a softmax over languages follows. Embeddings an
 the sample is held back: there a temperature is fitted, and the least score at which accepted predictions are right often enough is the
 rejection threshold (`accepted`).
 
-Fitted on a bounded sample: about PER_LANG texts of each language (by a hash of doc_id), each of at most MAX_BYTES; every other text
-and every byte of it is scored. Null text and text without a letter give 'und' with score 0, as does everything if no row has a
-language. Repeated rows and null or repeated doc_id are scored row by row; extra columns are ignored; an empty table gives no rows.
+Fitted on a bounded sample: at most PER_LANG texts of each language (fewer where there are over MOST / PER_LANG languages, so that about
+MOST rows teach in all, LEAST of each language at least), by the least hashes of (doc_id, text), whole texts, of which those that would
+exceed the language's part of SAMPLE_BYTES are left out. Every text and every byte of it is scored. Null text and text without a letter
+give 'und' with score 0, as does everything if no row has a language. A repeated row teaches once; repeated rows and null or repeated
+doc_id are scored row by row; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelattice.llm.kernel import BLANK, _BYTE, mix, powers, slices, text_buffers
+from pricelattice.llm.store import written
 
 BITS, DIM, ORDERS = 16, 16, (2, 3, 4)
-PER_LANG, MAX_BYTES, EPOCHS, RIGHT = 500, 20_000, 4, 0.99
+PER_LANG, MOST, LEAST, SAMPLE_BYTES, EPOCHS, RIGHT = 500, 8000, 4, 1 << 26, 4, 0.99
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[BLANK] = 32
@@ -43,19 +46,24 @@ def grams(data: np.ndarray, bounds: np.ndarray):
             yield (mix(h[ok] + np.uint64(order)) >> np.uint64(64 - BITS)).astype(np.int64), doc[:m][ok]
 
 
-def unit(key: Column, seed: int) -> Column:
-    """A number from 0 to 1, the same for the same key."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+def sample(docs: DataFrame, with_class, keep: list[str], quota: Column, most: int, most_bytes: int, seed: int) -> pa.Table:
+    """text, __pl_class and `keep` columns of at most `quota` (`most` at the most) distinct rows of each class, those of the least hashes
+    of (doc_id, text).
 
-
-def sample(docs: DataFrame, usable: Column, per_class: int, label: str, seed: int) -> DataFrame:
-    """About per_class rows of each class, by hash of doc_id; class counts are one aggregate over two narrow columns."""
-    known = docs.filter(usable & F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(label).count().orderBy(F.desc("count")).limit(1000).collect()}
-    if not counts:
-        return known.limit(0)
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_class / n))])
-    return known.filter((unit(F.col("doc_id"), seed) < share[F.col(label)]) & (F.octet_length("text") <= MAX_BYTES))
+    with_class(keys) adds __pl_class (dropping rows without one) to narrow rows: doc_id, `keep` and a hash of the text. Only they are
+    shuffled, each task sending no more than a class's quota; the rows chosen are few and counted before they are broadcast to the texts.
+    """
+    h = F.xxhash64("doc_id", "text")
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
+    keys = docs.select("doc_id", *keep, size.alias("__pl_size"), h.alias("__pl_h")).withColumn("__pl_u", F.xxhash64("__pl_h", F.lit(seed)))
+    keys = with_class(keys).groupBy("__pl_class", "__pl_u", "__pl_h").agg(F.max("__pl_size").alias("__pl_size"))
+    of = Window.partitionBy("__pl_class").orderBy("__pl_u", "__pl_h")
+    few = written(keys.withColumn("__pl_rank", F.row_number().over(of)).filter(F.col("__pl_rank") <= most), "sample_keys").filter(F.col("__pl_rank") <= quota)
+    total = F.sum("__pl_size").over(of.rowsBetween(Window.unboundedPreceding, 0))
+    chosen = written(few.withColumn("__pl_total", total).filter(F.col("__pl_total") <= most_bytes).select("__pl_class", "__pl_h"), "sample")
+    small = chosen.count() <= 4 * MOST
+    hit = docs.select("text", *keep, h.alias("__pl_h")).join(F.broadcast(chosen) if small else chosen, "__pl_h")
+    return hit.groupBy("__pl_h", "__pl_class").agg(F.min(F.struct("text", *keep)).alias("r")).orderBy("__pl_h").select("r.text", "__pl_class", *[f"r.{c}" for c in keep]).toArrow()
 
 
 class Model:
@@ -127,8 +135,11 @@ def fit(texts: list[str], langs: list[str], seed: int = 1) -> Model | None:
 
 
 def train(docs: DataFrame, usable: Column, per_lang: int = PER_LANG) -> Model | None:
-    rows = sample(docs, usable, per_lang, "lang", 11).select("text", "lang").toArrow()
-    return fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
+    known = docs.filter(usable & F.col("lang").isNotNull())
+    langs = max(1, known.select("lang").distinct().count())
+    quota = max(LEAST, min(per_lang, MOST // langs))
+    rows = sample(known, lambda keys: keys.withColumn("__pl_class", F.col("lang")), ["lang"], F.lit(quota), quota, SAMPLE_BYTES // langs, 11)
+    return fit(rows.column("text").to_pylist(), rows.column("__pl_class").to_pylist())
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
