@@ -1,14 +1,18 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Documents become token ids once and are written to the shared folder. Rows are dealt at random into blocks of about BLOCK tokens.
-In a block each source is a queue. A window of 2048 tokens grants each queue its quantum (share x 2048); a queue sends its next piece
-(at most GRAIN tokens of its head document) while its deficit covers it. What a queue was granted and did not send, or sent ahead of
-its grant, is its deficit and carries over to the next window. Into the next block it carries too: a block starts with
-share x (tokens in earlier blocks) - (tokens of this source in earlier blocks), which follows from sums by block and source, so blocks
-run in parallel. All windows but the last of a block are full: padding is below 2048 in about BLOCK tokens.
+Documents become token ids once and are written to the shared folder. Each source is one queue, in the order of a hash of (doc_id, text).
+A plan says how far each queue has got when the corpus has given g tokens: every source at its target share until it runs dry, then the
+others at their shares among themselves; sources without a target follow last, at their natural shares. The plan cuts the queues into
+blocks of BLOCK tokens, each with its exact part of every queue; so what one block owes a source and the next must make up is a fraction
+of a token, whatever the number of blocks, and blocks run in parallel. Queue positions come from sums by bucket of a queue.
+
+In a block, a window of 2048 tokens grants each queue its quantum (share x 2048); a queue sends its next piece (at most GRAIN tokens of
+its head document) while its deficit covers it. What a queue was granted and did not send is its deficit and carries over to the next
+window, as does, negative, what it sent ahead to fill the last one. A document that crosses the end of a block goes on in the next. All windows but the last of a block are full.
 
 Null text counts as empty (its only id is the end id). Rows are not merged: repeated rows and null or repeated doc_id are packed row by
-row. A null source is a queue of its own. Extra columns are ignored. An empty table gives no rows.
+row. A null source is a queue of its own. Extra columns are ignored. An empty table gives no rows. The result depends on the rows alone,
+not on their partitions, but for which of several equal rows comes first.
 """
 
 from __future__ import annotations
@@ -20,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from pricelattice.llm.kernel import SpanCache, distinct, hash_spans, slices, text_buffers
 from pricelattice.llm.store import written
 
-WINDOW, GRAIN, BLOCK, END_ID = 2048, 256, 1 << 21, 1
+WINDOW, GRAIN, BLOCK, BUCKET, END_ID = 2048, 256, 1 << 21, 1 << 20, 1
 SPECIAL = b"<|endoftext|>"
 _CACHE_MOST = 400_000
 
@@ -111,8 +116,10 @@ def _load(paths: tuple[str, str, str]) -> ByteEncoder:
 
 
 def tokenized(docs: DataFrame, paths: tuple[str, str, str], end_id: int = END_ID) -> DataFrame:
-    """doc_id, source, rid (a row number of its own), n, ids (16-bit little-endian, the end id included)."""
-    schema = docs.select("doc_id", "source").schema.add("rid", "long").add("n", "long").add("ids", "binary")
+    """doc_id, source, queue (its name), key (a hash of doc_id and text), rid (a row number of its own), n, ids (16-bit little-endian, the
+    end id included)."""
+    docs = docs.select("doc_id", "source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("queue"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    schema = docs.drop("text").schema.add("rid", "long").add("n", "long").add("ids", "binary")
     tail = np.array([end_id], "<u2").tobytes()
 
     def run(batches):
@@ -124,111 +131,183 @@ def tokenized(docs: DataFrame, paths: tuple[str, str, str], end_id: int = END_ID
             for lo, hi in slices(off):
                 ids = [x + tail for x in enc.documents(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])]
                 n = pa.array([len(x) // 2 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo:hi], b.column("source")[lo:hi], pa.array(range(rid, rid + hi - lo), pa.int64()), n, pa.array(ids, pa.binary())], names=["doc_id", "source", "rid", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c)[lo:hi] for c in schema.names[:4]), pa.array(range(rid, rid + hi - lo), pa.int64()), n, pa.array(ids, pa.binary())], names=schema.names)
                 rid += hi - lo
 
-    return docs.select("doc_id", "source", "text").mapInArrow(run, schema)
-
-
-def deficit_round_robin(lengths: list[int], source: list, share: dict, deficit: dict, window: int = WINDOW, grain: int = GRAIN):
+    return docs.mapInArrow(run, schema)
+
+
+class Plan:
+    """How far each queue has got when `g` tokens are out. Targeted queues give target x v tokens by the time v, until they are dry."""
+
+    def __init__(self, total: int, block: int, targets: dict[str, tuple[float, int]]):
+        """targets: (share, tokens) by queue; queues without a target are not in it."""
+        self.block = block
+        part = sum(p for p, _ in targets.values())
+        self.share = {q: p / part for q, (p, n) in targets.items() if p > 0 and n > 0}
+        size = {q: targets[q][1] for q in self.share}
+        self.main, self.rest = sum(size.values()), total - sum(size.values())
+        self.time, self.out, rate = [0.0], [0.0], 1.0
+        for q in sorted(self.share, key=lambda q: size[q] / self.share[q]):  # as they run dry
+            self.time.append(size[q] / self.share[q])
+            self.out.append(self.out[-1] + (self.time[-1] - self.time[-2]) * max(rate, 0.0))
+            rate -= self.share[q]
+
+    def edge(self, queue: str, size: int, b: int) -> int:
+        """Tokens of a queue of `size` tokens that go before block b."""
+        g = b * self.block
+        if queue in self.share:
+            return size if g >= self.main else min(size, int(self.share[queue] * float(np.interp(g, self.out, self.time))))
+        return min(size, max(0, g - self.main) * size // max(1, self.rest))
+
+    def parts(self, queue: str, size: int, lo: int, hi: int) -> list[tuple[int, int]]:
+        """(block, end) of the parts that blocks take of positions lo to hi of a queue, in order."""
+        if queue in self.share:
+            g = float(np.interp(lo / self.share[queue], self.time, self.out))
+        else:
+            g = self.main + lo * self.rest / max(1, size)
+        b = int(g // self.block)
+        while b > 0 and self.edge(queue, size, b) > lo:
+            b -= 1
+        out = []
+        while lo < hi:
+            end = self.edge(queue, size, b + 1)
+            end = end if (b + 1) * self.block < self.main + self.rest else size
+            if end > lo:
+                out.append((b, min(hi, end)))
+                lo = min(hi, end)
+            b += 1
+        return out
+
+
+def running(df: DataFrame, keys: list[str], at: str, value: str, name: str, span: int = 4096) -> DataFrame:
+    """df with the sum of `value` over the rows of equal keys whose integer `at` is smaller: sums of spans first, so that no task sorts
+    more than a span of rows or one row for each span."""
+    df = df.withColumn("_span", F.expr(f"{at} div {span}"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    heads = df.groupBy(*keys, "_span").agg(F.sum(value).alias("_sum"))
+    heads = heads.withColumn("_head", F.coalesce(F.sum("_sum").over(upto(Window.partitionBy(*keys).orderBy("_span"))), F.lit(0))).drop("_sum")
+    own = F.coalesce(F.sum(value).over(upto(Window.partitionBy(*keys, "_span").orderBy(at))), F.lit(0))
+    return df.withColumn("_own", own).join(heads, [*keys, "_span"]).withColumn(name, F.col("_head") + F.col("_own")).drop("_span", "_head", "_own")
+
+
+def deficit_round_robin(lengths: list[int], source: list, share: dict, window: int = WINDOW, grain: int = GRAIN):
     """Pieces (row, start, length, window number, offset) of one block, in order. Every token is in one piece; only the last window may
-    have room left."""
+    have room left. Each window grants `window` tokens in all; where no deficit covers a next piece, the largest one sends ahead."""
     queues: dict = {}
     for row, s in enumerate(source):
         queues.setdefault(s, deque()).append(row)
     ring = deque(sorted(queues, key=repr))
-    owed = {s: deficit.get(s, 0.0) for s in ring}
-    # A block that starts far from its targets must not starve a queue for long: the carried part is kept, in bounds of a few windows.
-    sent = dict.fromkeys(range(len(lengths)), 0)
-    number, room = 0, window
-    granted = False
+    owed, sent, number = dict.fromkeys(ring, 0.0), [0] * len(lengths), 0
     while ring:
-        if not granted:
-            total = sum(share.get(s, 0.0) for s in ring)
-            for s in ring:
-                owed[s] += window * (share.get(s, 0.0) / total if total > 0 else 1 / len(ring))
-            granted = True
-        moved = False
-        for _ in range(len(ring)):
-            s = ring[0]
-            q = queues[s]
-            while q and room:
-                row = q[0]
-                take = min(lengths[row] - sent[row], grain, room)
-                if owed[s] < take:
-                    break
-                yield row, sent[row], take, number, window - room
-                owed[s] -= take
-                room -= take
-                sent[row] += take
-                moved = True
-                if sent[row] == lengths[row]:
-                    q.popleft()
-            if q:
-                ring.rotate(-1)
-            else:
-                ring.popleft()
-            if not room or not ring:
-                break
-        if not room:
-            number, room, granted = number + 1, window, False
-        elif not moved:
-            granted = False
-
-
-def pack(docs: DataFrame, paths: tuple[str, str, str], targets: dict | None = None, window: int = WINDOW, grain: int = GRAIN, block: int = BLOCK, end_id: int = END_ID) -> DataFrame:
+        total = sum(share.get(s, 0.0) for s in ring)
+        for s in ring:
+            owed[s] += window * (share.get(s, 0.0) / total if total > 0 else 1 / len(ring))
+        room = window
+        while room and ring:
+            ahead = max(ring, key=lambda s: (share.get(s, 0.0) > 0, owed[s]))
+            turn = [s for s in ring if owed[s] >= grain] or [ahead]
+            for s in turn:
+                q = queues[s]
+                while q and room:
+                    row = q[0]
+                    take = min(lengths[row] - sent[row], grain, room)
+                    yield row, sent[row], take, number, window - room
+                    owed[s] -= take
+                    room -= take
+                    sent[row] += take
+                    if sent[row] == lengths[row]:
+                        q.popleft()
+                    if owed[s] < grain:
+                        break
+                if not q:
+                    ring.remove(s)
+            ring.rotate(-1)
+        number += 1
+
+
+def pack(docs: DataFrame, paths: tuple[str, str, str], targets: dict | None = None, window: int = WINDOW, grain: int = GRAIN, block: int = BLOCK, bucket: int = BUCKET, end_id: int = END_ID) -> DataFrame:
     """doc_id, source, start, length, ids (binary, 32-bit), ids_crc32, doc_tokens, sequence_id, offset.
 
     targets: token share by source; by default each source's share of all tokens, so that all queues end together. Any target packs
-    every token: a queue that runs dry leaves its part to the others.
+    every token.
     """
     t = written(tokenized(docs, paths, end_id), "tokens")
-    total = t.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-total // block))
-    t = t.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)))
-    sums = written(t.groupBy("block", "source").agg(F.sum("n").alias("n")), "sums")
-    by_block = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    line = sums.groupBy("block").agg(F.sum("n").alias("_n")).select("block", F.coalesce(F.sum("_n").over(by_block), F.lit(0)).alias("before"), F.coalesce(F.sum(F.ceil(F.col("_n") / window)).over(by_block), F.lit(0)).alias("first_sequence"))
-    own = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    if targets:
-        share = F.coalesce(F.create_map(*[F.lit(x) for k, v in targets.items() for x in (k, float(v))])[F.col("source")], F.lit(0.0))
-    else:
-        share = F.sum("n").over(Window.partitionBy("source")) / F.lit(max(1, total))
-    state = sums.withColumn("share", share).withColumn("done", F.coalesce(F.sum("n").over(own), F.lit(0)))
-    state = state.join(line, "block").withColumn("deficit", F.col("share") * F.col("before") - F.col("done"))
-    state = state.select("block", F.col("source").alias("_source"), F.col("share").cast("double"), F.col("deficit").cast("double"), F.col("first_sequence").cast("bigint"))
-    schema = docs.select("doc_id", "source").schema
+    sizes = written(t.groupBy("queue").agg(F.sum("n").alias("size")), "sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    named = {("=" + str(k) if k is not None else ""): float(v) for k, v in (targets or {}).items()}
+    held = {r.queue: r["size"] for r in sizes.filter(F.col("queue").isin(list(named))).collect()} if named else {}  # rows of given targets
+    block = max(window, block // window * window)
+    plan = Plan(total, block, {q: (p, held.get(q, 0)) for q, p in named.items()})
+
+    # Equal rows have one key; where they fill more than a bucket, their row numbers deal them out.
+    t = t.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "queue").withColumn("_salt", F.lit(0).cast("bigint"))
+    heavy = written(t.groupBy("key").agg(F.sum("n").alias("_n"), F.count("*").alias("_rows")).filter((F.col("_n") > bucket) & (F.col("_rows") > 1)).select(F.col("key").alias("_key")), "heavy")
+    if heavy.limit(1).count():
+        t = t.join(heavy, F.col("key") == F.col("_key"), "left").withColumn("_salt", F.when(F.col("_key").isNotNull(), F.col("rid")).otherwise(0)).drop("_key")
+    t = t.withColumn("order", F.xxhash64("key", "_salt")).drop("_salt", "key")
+    buckets = F.ceil(F.col("size") / bucket)
+    t = t.withColumn("bucket", F.least(F.floor((F.shiftrightunsigned("order", 11) / float(1 << 53)) * buckets), buckets - 1).cast("bigint"))
+    sums = running(t.groupBy("queue", "size", "bucket").agg(F.sum("n").alias("n")), ["queue"], "bucket", "n", "at")
+    sums = written(sums, "buckets")
+
+    def shares(batches):
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("queue", "size", "at", "n")), strict=True)
+            cut = [(k, end - lo) for q, size, at, n in rows for lo, (k, end) in _with_start(plan.parts(q, size, at, at + n), at)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in cut], pa.int64()) for i in (0, 1)], names=["block", "n"])
+
+    numbers = sums.mapInArrow(shares, "block long, n long").groupBy("block").agg(F.ceil(F.sum("n") / window).cast("bigint").alias("windows"))
+    numbers = written(running(numbers, [], "block", "windows", "first_sequence").select("block", F.col("first_sequence").cast("bigint")), "blocks")
+    tokens = {f.name: f.dataType for f in t.schema}
+    schema = StructType([StructField("block", LongType()), StructField("queue", tokens["queue"]), StructField("x", LongType()), docs.schema["doc_id"], docs.schema["source"], StructField("start", LongType()), StructField("n", LongType()), StructField("doc_tokens", LongType()), StructField("ids", BinaryType())])
+
+    def deal(rows: pa.Table, place: pa.Table) -> pa.Table:
+        """The documents of a bucket, cut where the blocks of the plan begin."""
+        rows = rows.sort_by([("order", "ascending"), ("rid", "ascending")])
+        out, x = [], place.column("at")[0].as_py() if place.num_rows else 0
+        for i, (q, size, n, raw) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("queue", "size", "n", "ids")), strict=True)):
+            for lo, (k, end) in _with_start(plan.parts(q, size, x, x + n), x):
+                out.append((i, k, lo, lo - x, end - lo, raw[2 * (lo - x) : 2 * (end - x)]))
+            x += n
+        at, k, lo, start, n, ids = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [], [], [], [])
+        take, big = pa.array(at, pa.int64()), lambda v: pa.array(v, pa.int64())
+        whole = lambda c: rows.column(c).take(take)
+        return pa.table([big(k), whole("queue"), big(lo), whole("doc_id"), whole("source"), big(start), big(n), whole("n"), pa.array(ids, pa.binary())], names=schema.names)
+
+    keys = ["queue", "bucket"]
+    dealt = t.groupBy(*keys).cogroup(sums.select(*keys, "at").groupBy(*keys)).applyInArrow(deal, schema)
+    result = docs.select("doc_id", "source").schema
     for name, kind in (("start", "long"), ("length", "long"), ("ids", "binary"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")):
-        schema = schema.add(name, kind)
-
-    def run(rows: pa.Table, plan: pa.Table) -> pa.Table:
-        rows = rows.sort_by("rid")
-        names = plan.column("_source").to_pylist()
-        shares = dict(zip(names, plan.column("share").to_pylist(), strict=True))
-        owed = dict(zip(names, plan.column("deficit").to_pylist(), strict=True))
-        base = plan.column("first_sequence")[0].as_py() if plan.num_rows else 0
-        n, src, raw = rows.column("n").to_pylist(), rows.column("source").to_pylist(), rows.column("ids").to_pylist()
-        out = list(deficit_round_robin(n, src, shares, owed, window, grain))
-        wide = {}
-        row, start, length, number, offset = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [], [])
-        ids, crc, left = [], [], list(n)
-        for r, a, k in zip(row, start, length, strict=True):
-            if r not in wide:
-                wide[r] = np.frombuffer(raw[r], "<u2").astype("<u4").tobytes()
-            piece = wide[r][4 * a : 4 * (a + k)]
-            left[r] -= k
-            if not left[r]:
-                del wide[r]
-            ids.append(piece)
-            crc.append(zlib.crc32(piece))
-        take = pa.array(row, pa.int64())
-        big = lambda x: pa.array(x, pa.int64())
-        return pa.table({
-            "doc_id": rows.column("doc_id").take(take), "source": rows.column("source").take(take), "start": big(start), "length": big(length), "ids": pa.array(ids, pa.binary()),
-            "ids_crc32": big(crc), "doc_tokens": rows.column("n").take(take).cast(pa.int64()), "sequence_id": big([base + x for x in number]), "offset": big(offset),
-        })
-
-    return t.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(run, schema)
+        result = result.add(name, kind)
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, number: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("queue", "ascending"), ("x", "ascending")])
+        n, src, raw, begin, x = (rows.column(c).to_pylist() for c in ("n", "queue", "ids", "start", "x"))
+        share = plan.share
+        if not any(q in share for q in src):  # no targets, or all targeted queues are dry: the block's own mixture
+            share, every = {}, max(1, sum(n))
+            for q, k in zip(src, n, strict=True):
+                share[q] = share.get(q, 0) + k / every
+        base = number.column("first_sequence")[0].as_py() if number.num_rows else 0
+        out = list(deficit_round_robin(n, src, share, window, grain))
+        row, start, length, window_of, offset = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [], [], [])
+        ids = [np.frombuffer(raw[r], "<u2", k, 2 * a).astype("<u4").tobytes() for r, a, k in zip(row, start, length, strict=True)]
+        take, big = pa.array(row, pa.int64()), lambda v: pa.array(v, pa.int64())
+        whole = lambda c: rows.column(c).take(take)
+        return pa.table([
+            whole("doc_id"), whole("source"), big([begin[r] + a for r, a in zip(row, start, strict=True)]), big(length), pa.array(ids, pa.binary()), big([zlib.crc32(i) for i in ids]),
+            whole("doc_tokens"), big([base + w for w in window_of]), big(offset),
+        ], names=result.names)
+
+    return dealt.groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(run, result)
+
+
+def _with_start(parts: list[tuple[int, int]], lo: int):
+    """Each part beside its start."""
+    for part in parts:
+        yield lo, part
+        lo = part[1]
 
 
 def tokenizer_paths() -> tuple[str, str, str]:

@@ -90,7 +90,7 @@ def test_round_robin_keeps_shares():
         total[s] += k
     share = {s: total[s] / sum(n) for s in total}
     by = defaultdict(Counter)
-    for row, _, k, w, _ in packing.deficit_round_robin(n, src, share, {}):
+    for row, _, k, w, _ in packing.deficit_round_robin(n, src, share):
         by[w][src[row]] += k
     run = Counter()
     for w in sorted(by)[: len(by) - 3]:
