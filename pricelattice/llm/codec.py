@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pricelattice.llm.kernel import SpanCache, Spans, distinct, slices, text_buffers
 
 _CACHE_MOST = 300_000
+#: Bytes of text encoded at once: words that are said again in them go through once.
+SLICE = 1 << 21
 
 
 def byte_alphabet() -> list[str]:
@@ -441,7 +443,7 @@ def encode(docs: DataFrame, path: str, full: bool = True) -> DataFrame:
         c = codec(path)
         for b in batches:
             data, off = text_buffers(b.column("text"))
-            for lo, hi in slices(off):
+            for lo, hi in slices(off, SLICE):
                 n, ids_sha, text_sha, ids, text = [], [], [], [], []
                 for i, t in c.documents(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]):
                     n.append(len(i) // 4)

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch while a table is written: whole texts stand in it, in the JVM and in Python.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; only where it is unset (tests, one machine) a temporary folder is made and set."""
@@ -23,7 +26,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     application and may be removed when that has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, str(min(ROWS, int(before or ROWS))))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
