@@ -45,8 +45,8 @@ def compact_timestamp(c: Column) -> Column:
 
 
 def contract_hour(c: Column) -> Column:
-    """'PH26042212' -> the UTC instant of 2026-04-22 12:00 in Istanbul; null for other shapes."""
-    digits = F.regexp_extract(c, r"^P[A-Z](\d{8})$", 1)
+    """'PH26042212', block contracts ('PB26042212-03') too -> the UTC instant of 2026-04-22 12:00 in Istanbul; null for other shapes."""
+    digits = F.regexp_extract(c, r"P[A-Z](\d{8})", 1)
     return F.to_utc_timestamp(F.try_to_timestamp(F.concat(F.lit("20"), digits), F.lit("yyyyMMddHH")), ISTANBUL)
 
 

@@ -33,7 +33,7 @@ SEASON_RULES: list[tuple[list[str], list[int]]] = [
     (["greyfurt"], [1, 10, 11, 12]),
     (["limon"], [3, 12]),
     (["nar"], [1, 2, 12]),
-    (["çilek"], [4, 5]),
+    (["çilek"], [4, 5, 6]),
     (["kiraz"], [6, 7]),
     (["kayısı"], [6, 7, 8]),
     (["şeftali"], [6, 7, 8]),

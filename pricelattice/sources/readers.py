@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ENCODINGS = ["utf-8", "utf-8-sig", "cp1254", "latin-1"]
+#: Letters of Latin-1 whose places Turkish ones take in the single-byte encoding.
+TURKISH = ("ÐÝÞðýþ", "ĞİŞğış")
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -19,14 +21,28 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str | None = None) -> DataFrame:
-    """CSV under a schema; without an encoding, UTF-8 (its BOM is dropped), or Turkish single-byte text (Latin-1 with its six
-    letters) where bytes are no UTF-8, decided per file."""
-    if encoding:
-        return spark.read.schema(schema).option("header", True).option("encoding", encoding).csv(path)
+    """CSV with a header, columns bound by name; quoted fields may hold newlines. Without an encoding, UTF-8 (its BOM is dropped), or
+    Turkish single-byte text (Latin-1 with its six letters) where a file's bytes are no UTF-8. Files of one encoding and header are read together; columns that a file
+    lacks are null, and so are values that do not fit their type."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.translate(F.decode("content", "iso-8859-1"), "ÐÝÞðýþ", "ĞİŞğış"))
-    lines = files.select("path", F.posexplode(F.split(F.regexp_replace(text, "^﻿", ""), "\r?\n")).alias("_i", "_line")).filter("_i > 0 and trim(_line) <> ''")
-    return lines.select(F.from_csv("_line", schema.simpleString()[7:-1].replace(":", " ")).alias("_r")).select("_r.*")
+    if encoding:
+        kind, text = F.lit(encoding), F.decode("content", encoding)
+    else:
+        utf8 = F.try_validate_utf8(F.col("content").cast("string"))
+        kind, text = F.when(utf8.isNotNull(), "UTF-8").otherwise("ISO-8859-1"), F.coalesce(utf8, F.decode("content", "iso-8859-1"))
+    header = F.substring_index(F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), "\r", ""), "\n", 1)
+    groups: dict[tuple[str, str], list[str]] = {}
+    for r in files.select("path", kind.alias("kind"), F.encode(header, "UTF-8").alias("header")).collect():  # a row for each file, as the listing has
+        groups.setdefault((r.kind, bytes(r.header).decode("utf-8")), []).append(r.path)
+    frames = []
+    for (kind_, line), paths in sorted(groups.items()):
+        turkish = not encoding and kind_ != "UTF-8"
+        names = next(csv.reader([line.translate(str.maketrans(*TURKISH)) if turkish else line]), [])
+        raw = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        r = spark.read.schema(raw).option("header", True).option("multiLine", True).option("escape", '"').option("encoding", kind_).csv(paths)
+        at = {n.strip(): F.translate(f"c{i}", *TURKISH) if turkish else F.col(f"c{i}") for i, n in enumerate(names)}
+        frames.append(r.select(*[at.get(f.name, F.lit(None).cast("string")).try_cast(f.dataType).alias(f.name) for f in schema.fields]))
+    return concat_by_name(frames) if frames else spark.createDataFrame([], schema)
 
 
 def read_csv_strings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -41,10 +57,11 @@ def read_parquet_years(spark: SparkSession, path: str, schema: T.StructType | No
 
 
 def latest_partition(df: DataFrame, key: str, date: str, wanted: str | None = None) -> DataFrame:
-    """Rows of the wanted date of each key, or of its newest date, kept only where that is the newest base date of all keys."""
-    per_key = df.groupBy(key).agg(F.coalesce(F.max(F.when(F.col(date) == F.lit(wanted), F.col(date))), F.max(date)).alias("_base"))
-    base = per_key.agg(F.max("_base").alias(date))  # one row
-    return df.join(F.broadcast(base), date, "left_semi")
+    """Rows of the keys whose base date is the run's: the wanted date, which some keys may lack, or else the newest date of all keys."""
+    if wanted is not None:
+        return df.filter(F.col(date) == F.lit(wanted))
+    newest = df.agg(F.max(date).alias(date))  # one row
+    return df.filter(F.col(key).isNotNull()).join(F.broadcast(newest), date, "left_semi")
 
 
 def first_nonempty(frames: list[DataFrame], default: DataFrame) -> DataFrame:

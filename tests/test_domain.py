@@ -22,6 +22,7 @@ def test_dates(spark):
     got = one(spark, *[D.any_date(F.lit(x)) for x in ("2024-1", "2024-10", "15-03-2024", "05.02.2024", "nonsense")])
     assert got == (dt.date(2024, 1, 1), dt.date(2024, 10, 1), dt.date(2024, 3, 15), dt.date(2024, 2, 5), None)
     c, bad = one(spark, D.contract_hour(F.lit("PH26042212")).cast("string"), D.contract_hour(F.lit("block")))
+    assert one(spark, D.contract_hour(F.lit("PB26042212-03")).cast("string"))[0] == c
     assert (c, bad) == ("2026-04-22 09:00:00", None)
     assert one(spark, D.istanbul_iso(F.lit("2026-04-22 09:00:00").cast("timestamp")), D.prev_month(F.lit(1)), D.next_month(F.lit(12))) == ("2026-04-22T12:00:00+03:00", 12, 1)
     assert one(spark, F.add_months(F.lit("2024-01-31").cast("date"), 1)) == (dt.date(2024, 2, 29),)
@@ -89,6 +90,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "d.csv").write_bytes("ad,fiyat\nşeker,2\n".encode("cp1254"))
     got = readers.read_csv_strings(spark, str(tmp_path / "*.csv"), ["ad", "fiyat"])
     assert sorted(map(tuple, got.collect())) == [("şeker", "1"), ("şeker", "2")]
+    (tmp_path / "e.csv").write_bytes('fiyat,ad,yer\n"1,5","iki\nsatır ""x""",a\n3,çay,b\n'.encode())
+    got = readers.read_csv(spark, str(tmp_path / "*.csv"), schemas.T.StructType.fromDDL("ad string, fiyat double"))
+    assert sorted(map(tuple, got.collect()), key=str) == [("iki\nsatır \"x\"", None), ("çay", 3.0), ("şeker", 1.0), ("şeker", 2.0)]
     t = sinks.with_partitions(spark.createDataFrame([(1, "2024-04-05", 1), (2, "2024-05-05", 1)], "k int, d string, v int"), F.to_date("d"), ["year", "month"])
     path = str(tmp_path / "t")
     sinks.write_partitions(t, path, ["year", "month"])
