@@ -223,7 +223,8 @@ class Transducer:
         return out
 
 class Lockstep:
-    """The transducer's states for many words at once: column i of `tok` holds last[i] of every word."""
+    """The transducer's states for many words at once: column i of `tok` holds last[i] of every word. It takes words of at most MOST bytes,
+    less than the lookahead: before a word's end none of its tokens is stable, and at the end all are."""
 
     MOST = 32
 
@@ -386,6 +387,7 @@ class Codec:
         self.v = Vocabulary(path)
         self.machine = Transducer(self.v)
         self.many = Lockstep(self.v)
+        self.text = TextMachine(self.v)
         self.cache = SpanCache(_CACHE_MOST)
 
     def encode_text(self, text: str) -> list[int]:
@@ -396,8 +398,9 @@ class Codec:
         return out
 
     def surface(self, ids: list[int]) -> str:
-        m = TextMachine(self.v)
-        return "".join([m.surface(t) for t in ids])
+        """What decode() gives for the ids of one word, by the state machine."""
+        self.text.begun = False
+        return "".join([self.text.surface(t) for t in ids])
 
     def _chunks(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, surface) of white-space separated chunks; a word that several chunks hold is run once."""
@@ -405,8 +408,7 @@ class Codec:
         words = list({w for p in parts for w in p})
         todo = [w for w in words if not isinstance(w, int)]
         ids = dict(zip(todo, self.many.run(todo), strict=True)) | {w: [w] for w in words if isinstance(w, int)}
-        spell = self.v.spelling
-        both = {w: (array("I", t).tobytes(), " ".join([spell[x] for x in t]).encode()) for w, t in ids.items()}
+        both = {w: (array("I", t).tobytes(), self.surface(t).encode()) for w, t in ids.items()}
         return [both[p[0]] if len(p) == 1 else (b"".join([both[w][0] for w in p]), b" ".join([both[w][1] for w in p])) for p in parts]
 
     def documents(self, data: np.ndarray, bounds: np.ndarray):
@@ -417,8 +419,10 @@ class Codec:
             return
         keys, first, cls = distinct(s.hashes())
         gc.disable()  # many small objects, no cycles
-        pairs = self.cache.resolve(keys, lambda new: self._chunks(s.bytes(first[new])))
-        gc.enable()
+        try:
+            pairs = self.cache.resolve(keys, lambda new: self._chunks(s.bytes(first[new])))
+        finally:
+            gc.enable()
         ids, text, of, at = [p[0] for p in pairs], [p[1] for p in pairs], cls.tolist(), s.doc.tolist()
         for a, b in zip(at[:-1], at[1:], strict=True):
             own = of[a:b]

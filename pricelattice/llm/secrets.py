@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RULE_VERSION = "2024-1"
+RULE_VERSION, CHUNK = "2024-1", 256
 FOUND = "array<struct<start:bigint,ord:int,end:bigint,kind:string>>"
 #: kind, pattern, value group and least length of that group. A minimum length stands in the pattern only where runs of one class make
 #: that the same as dropping short matches.
@@ -32,12 +32,25 @@ BASE = ["assign", "access", "hex"]
 NEEDS = {"access": "AKIA", "pem": "PRIVATE KEY", "github": "_", "slack": "xox", "jwt": "eyJ"}
 
 
+def in_chunks(items: Column, step, kind: str) -> Column:
+    """(at, out) after step(acc, item) over all items. Every CHUNK items have a list of their own, joined to the whole one when it is full,
+    so that a text with very many matches is not copied for each."""
+    empty = F.array().cast(kind)
+
+    def fold(it):
+        starts = F.when(F.size(it) > 0, F.sequence(F.lit(0), F.size(it) - 1, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+        join = lambda acc, p: F.struct(p["at"].alias("at"), F.concat(acc["out"], p["out"]).alias("out"))
+        chunk = lambda acc, s: F.aggregate(F.slice(it, s + 1, CHUNK), F.struct(acc["at"].alias("at"), empty.alias("out")), step, lambda p: join(acc, p))
+        return F.aggregate(starts, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), chunk)
+
+    return F.transform(F.array(items), fold)[0]  # so that items are worked out once
+
+
 def spans_of(text: Column, ordinal: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """Spans of a rule's leftmost matches: the parts between matches (split) and the matches give positions by running lengths."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     sizes = F.zip_with(F.zip_with(F.split(text, pattern), whole, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("size"))), value, lambda a, v: F.struct(a["gap"].alias("gap"), a["size"].alias("size"), F.length(v).alias("value")))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(FOUND).alias("out"))
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
@@ -47,7 +60,7 @@ def spans_of(text: Column, ordinal: int, kind: str, pattern: str, group: int, le
 
     test = text.rlike(pattern)
     test = text.contains(NEEDS[kind]) & test if kind in NEEDS else test
-    return F.when(test, F.aggregate(sizes, zero, step)["out"]).otherwise(F.array().cast(FOUND))
+    return F.when(test, in_chunks(sizes, step, FOUND)["out"]).otherwise(F.array().cast(FOUND))
 
 
 def versions(docs: DataFrame) -> DataFrame:
@@ -63,7 +76,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = R
     v = versions(docs)
     reps = v.groupBy("blob").agg(F.min("doc_id").alias("rep"))
     if ledger is not None:
-        reps = reps.join(ledger.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
+        old = ledger.filter(F.col("rule_version") == rule_version).select("blob", "found").dropDuplicates(["blob"])
+        reps = reps.join(old.select("blob"), "blob", "left_anti")
     r = reps.withColumnsRenamed({"blob": "_blob"})
     # A merge join at every size: representatives grow with the input, so they are never broadcast.
     todo = v.join(r.hint("merge"), (F.col("blob") == F.col("_blob")) & F.col("doc_id").eqNullSafe(F.col("rep")))
@@ -72,7 +86,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = R
     new = fresh.filter(F.size("found") > 0).dropDuplicates(["blob"])
     known = new
     if ledger is not None:
-        known = new.unionByName(ledger.filter((F.col("rule_version") == rule_version) & (F.size("found") > 0)).select("blob", "found"))
+        known = new.unionByName(old.filter(F.size("found") > 0))
     by_path = v.select("doc_id", "blob").join(known, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(FOUND)))
     seen = reps.select("blob").join(new, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("found", F.array().cast(FOUND)).alias("found"))
     return by_path, (seen if ledger is None else ledger.unionByName(seen))
@@ -92,14 +106,13 @@ def summary(by_path: DataFrame) -> DataFrame:
 
 def redacted(text: Column, found: Column) -> Column:
     """Text with every span replaced by its kind in brackets; of spans that overlap the first names the place."""
-    zero = F.struct(F.lit("").alias("s"), F.lit(0).cast("bigint").alias("at"))
 
     def step(acc, x):
-        cut = F.concat(acc["s"], F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit("["), x["kind"], F.lit("]"))
-        return F.when(x["start"] >= acc["at"], F.struct(cut.alias("s"), x["end"].alias("at"))).otherwise(F.struct(acc["s"].alias("s"), F.greatest(acc["at"], x["end"]).alias("at")))
+        cut = F.array(F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.concat(F.lit("["), x["kind"], F.lit("]")))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], cut)).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate(found, zero, step)
-    return F.when(F.size(found) > 0, F.concat(done["s"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))).otherwise(text)
+    done = in_chunks(found, step, "array<string>")
+    return F.when(F.size(found) > 0, F.transform(F.array(done), lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, (d["at"] + 1).cast("int"), F.length(text))))[0]).otherwise(text)
 
 
 def redact(docs: DataFrame) -> DataFrame:
