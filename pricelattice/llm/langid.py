@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelattice.llm.kernel import BLANK, _BYTE, mix, powers, slices, text_buffers
-from pricelattice.llm.store import written
+from pricelattice.llm.store import give_back, written
 
 BITS, DIM, ORDERS = 16, 16, (2, 3, 4)
 PER_LANG, MOST, LEAST, SAMPLE_BYTES, EPOCHS, RIGHT = 500, 8000, 4, 1 << 26, 4, 0.99
@@ -139,7 +139,10 @@ def train(docs: DataFrame, usable: Column, per_lang: int = PER_LANG) -> Model |
     langs = max(1, known.select("lang").distinct().count())
     quota = max(LEAST, min(per_lang, MOST // langs))
     rows = sample(known, lambda keys: keys.withColumn("__pl_class", F.col("lang")), ["lang"], F.lit(quota), quota, SAMPLE_BYTES // langs, 11)
-    return fit(rows.column("text").to_pylist(), rows.column("__pl_class").to_pylist())
+    model = fit(rows.column("text").to_pylist(), rows.column("__pl_class").to_pylist())
+    del rows
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
