@@ -2,7 +2,7 @@
 
 import pytest
 
-from pricelattice.plans import catalog
+from pricelattice.plans import catalog, market  # noqa: F401  (adds its queries)
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
