@@ -50,5 +50,18 @@ for _name, _schema, _part, _keys in [
     ("weather", "WEATHER_NESTED", ["year", "month"], ["city_id", "timestamp"]),
 ]:
     register(SourceSpec(_name, _schema, _part, _keys))
+# Months that one request may span, where these are not 12.
+RANGE_MONTHS = {
+    "real_time_generation": 3, "injection_quantity": 3, "renewable_injection_quantity": 3, "wind_forecast": 1, "intraday_market": 3,
+    "dam_daily_level": 999, "dam_active_fullness": 999, "planned_outages": 1, "unplanned_outages": 1, "realtime_consumption": 3,
+    "renewable_realtime_generation": 1, "kgup": 3, "dam_active_volume": 999,
+}
+
+
+def _as_found(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines with all fields that they have: the energy datasets' columns differ and are not declared."""
+    return spark.read.json(path)
+
+
 for _name in ENERGY_DATASETS:
-    register(SourceSpec(f"epias/{_name}", "ENERGY", ["year", "month"], ["timestamp", "contract"]))
+    register(SourceSpec(f"epias/{_name}", "ENERGY", ["year", "month"], ["timestamp", "contract"], RANGE_MONTHS.get(_name, 12), None if _name == "price_and_cost" else _as_found))

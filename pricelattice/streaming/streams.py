@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WATERMARK = "48 hours"
-# Topics and the field that keys each.
-TOPICS = {"raw_market": "product", "raw_hal": "urun", "raw_epias": "dataset", "raw_tcmb": "series", "raw_gdelt": "event", "raw_weather": "lat", "raw_akaryakit": "il"}
+# Topics and the key of a message, as SQL over its fields.
+TOPICS = {
+    "raw_market_prices": "productId", "raw_hal_prices": "urun", "raw_weather": "concat(lat, ',', lon)", "raw_gdelt": "globalEventId",
+    "raw_epias": "concat(dataset, ':', hour)", "raw_tcmb": "series", "raw_akaryakit": "concat(il, ':', urun)",
+}
 
 
 def read_events(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", max_files: int = 50, **options: str) -> DataFrame:
