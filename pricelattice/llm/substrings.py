@@ -9,10 +9,10 @@ of least hash at the highest round that has such a symbol. So two equal windows
 Runs of windows with one anchor form one row (anchor, doc_id, first window, windows, digest of their words). Anchors seen in two
 documents are compared: rows with equal digests are copies, of which only the one of smallest doc_id is compared further, window by
 window on a 64-bit hash of the words beside the 64-bit anchor; a window goes if a smaller doc_id has it. A passage in very many
-documents thus costs each of them a row, and never a pair of documents.
+documents thus costs each of them a row, and never a pair of documents. Words are taken as equal if both hashes are, 128 bits in all.
 
-Words are `[^\\x20\\x09-\\x0D]+`. Null text has no words; rows of one doc_id count as one document; rows without doc_id keep all words
-and are no source of others; extra columns are ignored; an empty table gives no rows.
+Words are `[^\\x20\\x09-\\x0D]+`. Null text has no words; rows of one doc_id count as one document, and what is found in one of them is cut
+from a row only where that row has the same words; rows without doc_id keep all words and are no source of others; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ def occurrence_table(docs: DataFrame, width: int) -> DataFrame:
             for lo, _, s in _rows(b):
                 words = s.hashes()
                 anchor, doc, win, n = anchors(words, s.doc, width)
-                digest = WindowHash(words).of(win, win + n + width - 1) + n.astype(np.uint64)
+                digest = WindowHash(words).of(win, win + n + width - 1)
                 ids = b.column("doc_id").take(pa.array(doc + lo, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(anchor.view(np.int64)), pa.array((win - s.doc[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(digest.view(np.int64))], names=schema.names)
 
@@ -162,7 +162,7 @@ def occurrence_table(docs: DataFrame, width: int) -> DataFrame:
 
 
 def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, at, n: runs of n windows from window `at` whose words also start in a document of smaller doc_id."""
+    """doc_id, at, n, digest: runs of n windows from window `at`, with the digest of their words, that also start in a document of smaller doc_id."""
     occ = written(occurrence_table(docs, width), "occurrences")
     by_anchor = occ.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("digest").alias("d0"), F.max("digest").alias("d1"))
     # A table of its own, so that the join's two sides are plain exchanges, of which a hot anchor's partition can be split.
@@ -170,15 +170,15 @@ def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     near = written(occ.join(shared, "anchor"), "shared")
     rep = written(near.groupBy("anchor", "digest").agg(F.min("doc_id").alias("rep")), "representatives")
     j = near.join(rep, ["anchor", "digest"])
-    whole = j.filter("doc_id > rep").select("doc_id", F.col("first").alias("at"), F.col("windows").alias("n"))
+    whole = j.filter("doc_id > rep").select("doc_id", F.col("first").alias("at"), F.col("windows").alias("n"), "digest")
     own = j.filter("doc_id = rep and mixed").groupBy("doc_id").agg(F.collect_list(F.struct("first", "windows", "anchor")).alias("want"))
-    schema = docs.select("doc_id").schema.add("key", "long").add("at", "integer")
+    schema = docs.select("doc_id").schema.add("anchor", "long").add("words", "long").add("at", "integer")
 
     def run(batches):
         for b in batches:
             for lo, hi, s in _rows(b):
                 h = WindowHash(s.hashes())
-                doc, key, at = [], [], []
+                doc, anchor, words, at = [], [], [], []
                 for k in range(lo, hi):
                     w0, w1 = int(s.doc[k - lo]), int(s.doc[k - lo + 1])
                     for w in b.column("want")[k].as_py():
@@ -186,41 +186,46 @@ def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                         if w0 + w["first"] + n + width - 1 > w1:
                             continue  # another row of this doc_id
                         a = np.arange(w0 + w["first"], w0 + w["first"] + n)
-                        key.append(combine(h.of(a, a + width), np.full(n, w["anchor"], np.int64).view(np.uint64)).view(np.int64))
+                        anchor.append(np.full(n, w["anchor"], np.int64))
+                        words.append(h.of(a, a + width).view(np.int64))
                         at.append((a - w0).astype(np.int32))
                         doc.append(np.full(n, k))
-                if key:
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(np.concatenate(doc))), pa.array(np.concatenate(key)), pa.array(np.concatenate(at))], names=schema.names)
+                if words:
+                    ids = b.column("doc_id").take(pa.array(np.concatenate(doc)))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(c)) for c in (anchor, words, at))], names=schema.names)
 
     fine = written(docs.select("doc_id", "text").join(own.hint("merge"), "doc_id").mapInArrow(run, schema), "windows")
-    first = fine.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key", "lo")
-    single = fine.join(first, "key").filter("doc_id > lo").select("doc_id", "at", F.lit(1).alias("n"))
+    first = fine.groupBy("anchor", "words").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
+    single = fine.join(first, ["anchor", "words"]).filter("doc_id > lo").select("doc_id", "at", F.lit(1).alias("n"), F.col("words").alias("digest"))
     return whole.unionByName(single)
 
 
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words joined by one blank)."""
-    gone = repeated(docs, width).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+    gone = repeated(docs, width).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("at", "n", "digest")).alias("cut"))
     j = docs.select("doc_id", "text").join(gone.hint("merge"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     schema = docs.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
 
     def run(batches):
         for b in batches:
             for lo, hi, s in _rows(b):
+                h = WindowHash(s.hashes())
                 n, removed, kept = [], [], []
                 raw = s.data.tobytes()
                 for k in range(lo, hi):
                     w0, w1 = int(s.doc[k - lo]), int(s.doc[k - lo + 1])
                     words = [raw[x:y] for x, y in zip(s.start[w0:w1].tolist(), s.end[w0:w1].tolist(), strict=True)]
                     cut = 0
-                    at = b.column("at")[k]
-                    if at.is_valid:
+                    found = b.column("cut")[k]
+                    if found.is_valid:
                         edge = np.zeros(w1 - w0 + 1, np.int64)
-                        a = np.asarray(at.values, np.int64)
-                        e = a + np.asarray(b.column("n")[k].values, np.int64) + width - 1
-                        fits = e <= w1 - w0
-                        np.add.at(edge, a[fits], 1)
-                        np.add.at(edge, e[fits], -1)
+                        a, many, digest = (np.asarray(found.values.field(f), np.int64) for f in ("at", "n", "digest"))
+                        e = a + many + width - 1
+                        inside = np.flatnonzero(e <= w1 - w0)
+                        a, e, digest = a[inside], e[inside], digest[inside]
+                        here = h.of(w0 + a, w0 + e).view(np.int64) == digest
+                        np.add.at(edge, a[here], 1)
+                        np.add.at(edge, e[here], -1)
                         out = np.cumsum(edge)[:-1] > 0
                         cut = int(out.sum())
                         words = [w for w, o in zip(words, out.tolist(), strict=True) if not o]
