@@ -26,10 +26,19 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return picked.select(*keys, "_row.*").select(*df.columns)
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Union by name in which a new row replaces the old row of its key."""
+def settled(df: DataFrame, keys: list[str]) -> list[Column]:
+    """The columns beside `keys` that have an order (maps and variants have none), so that ties end alike on every run."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name not in keys}
+    return [F.col(c) for c, k in kinds.items() if "map<" not in k and "variant" not in k]
+
+
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Union by name in which a new row replaces the old row of its key.
+
+    Of several new rows of a key the last by `order` (arrival) stays; rows that tie there, or all without it, go by their other columns.
+    """
     both = existing.withColumn("_prio", F.lit(0)).unionByName(new.withColumn("_prio", F.lit(1)), allowMissingColumns=True)
-    return keep_last(both, keys, [F.col("_prio")]).drop("_prio")
+    return keep_last(both, keys, [F.col("_prio"), *[F.col(c) for c in order or []], *settled(both, [*keys, "_prio"])]).drop("_prio")
 
 
 def append_new(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,10 +51,10 @@ def only_known(df: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def by_priority(frames: list[tuple[str, DataFrame]], keys: list[str]) -> DataFrame:
-    """Union of named sources, in falling priority; for a key the first source that has it wins. Adds `source`."""
+    """Union of named sources, in falling priority; for a key the first source that has it wins, and of its rows the least. Adds `source`."""
     tagged = [df.withColumn("source", F.lit(name)).withColumn("_prio", F.lit(i)) for i, (name, df) in enumerate(frames)]
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    return keep_one(both, keys, [F.col("_prio")]).drop("_prio")
+    return keep_one(both, keys, [F.col("_prio"), *settled(both, [*keys, "_prio"])]).drop("_prio")
 
 
 def _null_safe(keys: list[str], a: str, b: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelattice.functions.dates import any_timestamp, contract_hour, istanbul_iso
-from pricelattice.operators.dedup import keep_last
+from pricelattice.operators.dedup import keep_last, keep_one, settled
 from pricelattice.operators.joins import full_outer_null_safe
 
 # Time columns in order of preference.
@@ -24,15 +24,16 @@ def time_column(columns: list[str]) -> str:
 def normalize(df: DataFrame, dataset: str, source: str, ingested_at: str, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """UTC instant, Istanbul text, enrichment, leading columns first; rows without a readable time go. One row per (timestamp, keys).
 
-    `keys` names what else tells rows of one timestamp apart (contract, dam, plant), so rows of different things are never merged.
+    `keys` names what else tells rows of one timestamp apart (contract, dam, plant), so rows of different things are never merged. The last
+    row by `order` stays; rows that tie there, or all without it, go by their other columns.
     """
     at = time_column(df.columns)
     out = df.withColumn("_at", any_timestamp(F.col(at).cast("string"))).filter("_at is not null")
     out = out.drop(*{at, "hour"}).withColumn("timestamp", istanbul_iso(F.col("_at")))
     out = out.withColumns({"_dataset": F.lit(dataset), "_source": F.lit(source), "_ingested_at": F.lit(ingested_at)})
     out = out.select(*LEADING, *[c for c in out.columns if c not in {*LEADING, "_at"}])
-    rest = [c for c in out.columns if c not in {"timestamp", *(keys or [])}]
-    return keep_last(out, ["timestamp", *(keys or [])], [F.col(c) for c in (order or rest)])
+    own = ["timestamp", *(keys or [])]
+    return keep_last(out, own, [*[F.col(c) for c in order or []], *settled(out, own)])
 
 
 def parse_contracts(df: DataFrame, name: str = "kontratAdi") -> DataFrame:
@@ -48,4 +49,5 @@ def outage_times(df: DataFrame) -> DataFrame:
 def intraday(prices: DataFrame, volumes: DataFrame) -> DataFrame:
     keys = [k for k in ("date", "kontratTuru", "kontratAdi") if k in prices.columns and k in volumes.columns]
     joined = full_outer_null_safe(prices, volumes, keys)
-    return joined.dropDuplicates(keys)
+    order = settled(joined, keys)  # of rows of one contract the least by the other columns stays
+    return keep_one(joined, keys, order) if order else joined.dropDuplicates(keys)

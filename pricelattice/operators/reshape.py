@@ -50,9 +50,11 @@ def month_windows(df: DataFrame, lo: str, hi: str, months: int) -> DataFrame:
     return out.withColumn("window_end", F.least(F.date_sub(F.add_months("window_start", months), 1), F.col(hi)))
 
 
-def densify(facts: DataFrame, dims: list[DataFrame], keys: list[str], fill: dict) -> DataFrame:
-    """Every combination of small dimensions with the facts or a fill value; the product runs over the dimensions, never over facts."""
+def densify(facts: DataFrame, dims: list[DataFrame], keys: list[str], fill: dict, bound_rows: int = 100_000) -> DataFrame:
+    """Every combination of dimensions with the facts or a fill value; the product runs over the dimensions, never over facts. A dimension
+    is broadcast when a bounded count shows that it has at most `bound_rows`."""
     spine = dims[0]
     for d in dims[1:]:
-        spine = spine.crossJoin(F.broadcast(d))
+        small = d.limit(bound_rows + 1).count() <= bound_rows
+        spine = spine.crossJoin(F.broadcast(d) if small else d)
     return spine.join(facts, keys, "left").fillna(fill)
