@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelattice.llm import ann, codec, langid, lines, neardup, packing, quality, secrets, substrings, toxicity
+from pricelattice.llm import alignment, ann, codec, langid, lines, neardup, packing, quality, secrets, substrings, toxicity
 from pricelattice.llm.store import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
+@query
+def op12_byte_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), alignment.paths(), full=False)
