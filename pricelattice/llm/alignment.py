@@ -17,9 +17,9 @@ table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,11 @@ from pyspark.sql.types import ArrayType, LongType
 from pricelattice.llm.kernel import slices, text_buffers
 from pricelattice.llm.store import written
 
-SLICE, CACHE_MOST = 1 << 21, 150_000
+#: Bytes of a slice, pieces encoded in one call, links of a group that are written out one by one.
+SLICE, BLOCK, MANY = 1 << 21, 256, 4096
 #: Labels of a byte. A pair's key is A's id * SHIFT + B's id.
 NONE, A_END, B_END, BOTH = b".abx"
+_LABEL = np.frombuffer(bytes((NONE, A_END, B_END, BOTH)), np.uint8)
 SPAN = re.compile(rb"[^x]*x")
 SHIFT = 1 << 20
 _TAIL = np.isin(np.arange(256), [*range(0x80, 0x8B), 0x8E, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF])
@@ -58,22 +60,26 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return i[plain(before) & plain(after) & ~white]
 
 
-def labels(a_sizes: list[int], b_sizes: list[int], n: int) -> bytes:
-    """The label string of n bytes that both sides' token sizes add up to."""
+def labels(a_ends: np.ndarray, b_ends: np.ndarray, n: int) -> np.ndarray:
+    """Labels of n bytes, from the end offsets of both sides' tokens."""
     mark = np.zeros(n, np.uint8)
-    mark[np.cumsum(a_sizes) - 1] = 1
-    mark[np.cumsum(b_sizes) - 1] |= 2
-    return np.frombuffer(bytes((NONE, A_END, B_END, BOTH)), np.uint8)[mark].tobytes()
-
-
-def groups(string: bytes) -> list[tuple[int, int]]:
-    """(tokens of A, tokens of B) of each group, from a label string."""
-    out = []
-    for m in SPAN.finditer(string):
-        s = m.group()
-        both = s.count(b"x")
-        out.append((s.count(b"a") + both, s.count(b"b") + both))
-    return out
+    mark[a_ends - 1] = 1
+    mark[b_ends - 1] |= 2
+    return _LABEL[mark]
+
+
+def groups(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of A, tokens of B) of each group: spans up to a both-label, and the labels in them."""
+    end = np.cumsum([len(s) for s in SPAN.findall(label.tobytes())], dtype=np.int64)
+    both = label == BOTH
+    return tuple(np.diff(np.cumsum(both | (label == own))[end - 1], prepend=0) for own in (A_END, B_END))
+
+
+class Pieces:
+    """Distinct pieces' tokens, groups and links, in flat arrays. `broken`: pieces whose tokens' bytes differ, which have none."""
+
+    def __init__(self, count: np.ndarray, broken: np.ndarray, said: list[bytes], size: np.ndarray, keys: np.ndarray, times: np.ndarray):
+        self.count, self.broken, self.said, self.size, self.keys, self.times = count, broken, said, size, keys, times
 
 
 class Aligner:
@@ -81,7 +87,9 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         from pricelattice.llm.codec import byte_alphabet
@@ -89,37 +97,100 @@ class Aligner:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         own = {c: b for b, c in enumerate(byte_alphabet())}
-        self.a_bytes = {i: bytes(own[c] for c in s) if all(c in own for c in s) else s.encode() for s, i in self.a.get_vocab().items()}
+        spelling = {i: s for s, i in self.a.get_vocab().items()}
+        self.a_bytes = [bytes(own[c] for c in s) if all(c in own for c in s) else s.encode() for s in (spelling.get(i, "") for i in range(max(spelling) + 1))]
+        # Where ids run in the order of merges, ranked bytes say the same and are faster. That is how files of this kind are made; else the file itself.
+        ranks = {x: i for i, x in enumerate(self.a_bytes) if i not in self.a.get_added_tokens_decoder()}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in json.load(open(a_path, encoding="utf-8"))["model"]["merges"]]
+        made = [self.a.token_to_id("".join(m)) for m in merges]
+        in_order = made == list(range(256, 256 + len(made))) and len(ranks) == 256 + len(made)
+        self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if in_order else None
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
-        self.cache: dict[bytes, tuple | None] = {}
-
-    def encode(self, pieces: list[bytes]) -> list[tuple | None]:
-        """For each piece (tokens of A, of B, groups, links, group text, pair keys, their numbers), or None where bytes differ."""
-        known = self.cache
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > CACHE_MOST:
-            known = self.cache = {p: known[p] for p in pieces if p in known}
-        texts = [p.decode("utf-8", "replace") for p in new]
-        for piece, a, b in zip(new, self.a.encode_batch(texts, add_special_tokens=False), self.b.encode([t[1:] for t in texts], num_threads=1), strict=True):
-            known[piece] = self._entry(piece, a.ids, b)
-        return [known[p] for p in pieces]
-
-    def _entry(self, piece: bytes, a: list[int], b: list[int]):
-        x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(x) != piece or b"".join(y) != piece:
-            return None
-        links, said, i, j = Counter(), [], 0, 0
-        for n, m in groups(labels([len(t) for t in x], [len(t) for t in y], len(piece))):
-            left, right = a[i : i + n], b[j : j + m]
-            said.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-            for s, k in Counter(left).items():
-                for t, q in Counter(right).items():
-                    links[s * SHIFT + t] += k * q
-            i, j = i + n, j + m
-        keys, times = np.fromiter(links, np.int64, len(links)), np.fromiter(links.values(), np.int64, len(links))
-        return len(a), len(b), len(said), int(times.sum()), ";".join(said).encode(), keys.tobytes(), times.tobytes()
+        self.size = [np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes)]
+        # A token's number with what follows it: another of its side, the other side, the next group.
+        self.said = [{sep: _objects([b"%d%c" % (i, sep) for i in range(len(t))]) for sep in b",|;"} for t in (self.a_bytes, self.b_bytes)]
+
+    def tokens(self, blocks: list[bytes]) -> tuple[list, list]:
+        texts = [x.decode("utf-8", "replace") for x in blocks]
+        a = [self.fast.encode_to_numpy(t).tolist() for t in texts] if self.fast else [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        return a, self.b.encode([t[1:] for t in texts], num_threads=1)
+
+    def same(self, block: bytes, a: list[int], b: list[int]) -> bool:
+        return b"".join([self.a_bytes[i] for i in a]) == block and b"".join([self.b_bytes[i] for i in b]) == block
+
+    def encode(self, pieces: list[bytes]) -> Pieces:
+        """Pieces are encoded in blocks: where one ends and the next begins, both vocabularies cut, or a block ends."""
+        n = len(pieces)
+        size = np.array([len(p) for p in pieces], np.int64)
+        end = np.cumsum(size)
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        together = np.zeros(len(data) + 1, bool)
+        together[cuts(data)] = True
+        firsts, blocks = [], []
+        for k in range(n):
+            if not firsts or not together[end[k - 1]] or k - firsts[-1] >= BLOCK:
+                firsts.append(k)
+        for x, y in zip(firsts, [*firsts[1:], n], strict=True):
+            blocks.append(b"".join(pieces[x:y]))
+        a, b = self.tokens(blocks)
+        broken = np.zeros(n, bool)
+        for k in [k for k in range(len(blocks)) if not self.same(blocks[k], a[k], b[k])]:
+            x, y = firsts[k], firsts[k + 1] if k + 1 < len(firsts) else n
+            own = list(zip(pieces[x:y], *self.tokens(pieces[x:y]), strict=True))
+            whole = [self.same(*o) for o in own]
+            broken[x:y] = ~np.array(whole)
+            a[k], b[k] = ([t for o, ok in zip(own, whole, strict=True) if ok for t in o[side]] for side in (1, 2))
+        ids = [np.array([t for block in x for t in block], np.int64) for x in (a, b)]
+        # Places in the bytes of the pieces that hold.
+        edge = np.cumsum(np.where(broken, 0, size))
+        ends = [np.cumsum(self.size[side][ids[side]]) for side in (0, 1)]
+        na, nb = groups(labels(*ends, int(edge[-1]) if n else 0))
+        where = np.searchsorted(edge, ends[0][np.cumsum(na) - 1], "left") if len(na) else np.zeros(0, np.int64)
+        place = np.searchsorted(where, np.arange(n + 1))
+        sums = lambda x: np.diff(np.append(0, np.cumsum(x))[place])
+        count = np.stack([sums(na), sums(nb), sums(np.ones(len(na), np.int64)), sums(na * nb)], 1)
+        said = self._said(ids, na, nb, np.append(0, np.cumsum(na + nb))[place].tolist())
+        keys, times, of = _links(ids, na, nb)
+        return Pieces(count, broken, said, np.bincount(where[of], minlength=n), keys, times)
+
+    def _said(self, ids, na, nb, place) -> list[bytes]:
+        """Group texts of pieces, each group closed by ';'."""
+        group = [np.repeat(np.arange(len(k)), k) for k in (na, nb)]
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        last = [np.zeros(len(x), bool) for x in ids]
+        for x, k in zip(last, (na, nb), strict=True):
+            x[np.cumsum(k) - 1] = True
+        parts = [np.where(last[side], self.said[side][b"|;"[side]][ids[side]], self.said[side][ord(",")][ids[side]]) for side in (0, 1)]
+        listed = np.concatenate(parts)[order].tolist()
+        return [b"".join(listed[x:y]) for x, y in zip(place[:-1], place[1:], strict=True)]
+
+
+def _links(ids, na, nb) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair keys, times, group) of all links, group by group. Groups of over MANY links are summed by id first."""
+    start = [np.cumsum(k) - k for k in (na, nb)]
+    size = np.where(na * nb > MANY, 0, na * nb)
+    of = np.repeat(np.arange(len(na)), size)
+    within = _ragged(np.zeros(len(size), np.int64), size)
+    key = ids[0][start[0][of] + within // nb[of]] * SHIFT + ids[1][start[1][of] + within % nb[of]]
+    times = np.ones(len(key), np.int64)
+    large = np.flatnonzero(na * nb > MANY)
+    if len(large):
+        more = []
+        for g in large.tolist():
+            (x, p), (y, q) = (np.unique(i[s[g] : s[g] + k[g]], return_counts=True) for i, s, k in zip(ids, start, (na, nb), strict=True))
+            more.append(((x[:, None] * SHIFT + y).ravel(), (p[:, None] * q).ravel(), np.full(len(x) * len(y), g)))
+        key, times, of = (np.concatenate([z, *(m[k] for m in more)]) for k, z in enumerate((key, times, of)))
+        order = np.argsort(of, kind="stable")
+        key, times, of = key[order], times[order], of[order]
+    return key, times, of
+
+
+def _objects(items: list) -> np.ndarray:
+    out = np.empty(len(items), object)
+    out[:] = items
+    return out
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -148,32 +219,32 @@ def _slice(aligner: Aligner, data: np.ndarray, bounds: np.ndarray):
     offsets = pa.py_buffer(np.append(start, end[-1:] if len(end) else 0).astype(np.int64).tobytes())
     pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
     code = pieces.indices.to_numpy(zero_copy_only=False)
-    entries = aligner.encode(pieces.dictionary.to_pylist())
-    counts = np.array([e[:4] if e else (0, 0, 0, 0) for e in entries], np.int64).reshape(-1, 4)
-    broken = np.array([e is None for e in entries], bool)
+    entry = aligner.encode(pieces.dictionary.to_pylist())
     at = np.searchsorted(start, bounds)
     doc = np.repeat(np.arange(n), np.diff(at))
     # A document that is only the blank put before it had no text.
-    void = np.bincount(doc, broken[code], n).astype(bool) | (np.diff(bounds) <= 1)
+    void = np.bincount(doc, entry.broken[code], n).astype(bool) | (np.diff(bounds) <= 1)
     total = np.zeros((n, 4), np.int64)
     for k in range(4):
-        run = np.append(0, np.cumsum(counts[code, k]))
+        run = np.append(0, np.cumsum(entry.count[code, k]))
         total[:, k] = run[at[1:]] - run[at[:-1]]
     total[void] = 0
-    texts = [e[4] if e else b"" for e in entries]
     listed, cut_at = code.tolist(), at.tolist()
-    said = [None if void[k] else b";".join([texts[c] for c in listed[cut_at[k] : cut_at[k + 1]]]) for k in range(n)]
-    size = np.array([len(e[5]) // 8 if e else 0 for e in entries], np.int64)
-    keys, number = np.unique(np.frombuffer(b"".join(e[5] for e in entries if e), np.int64), return_inverse=True)
-    times = np.frombuffer(b"".join(e[6] for e in entries if e), np.int64)
+    said = [None if void[k] else b"".join([entry.said[c] for c in listed[cut_at[k] : cut_at[k + 1]]])[:-1] for k in range(n)]
+    size = entry.size
+    keys, number = np.unique(entry.keys, return_inverse=True)
     live = ~void[doc]
     who, what = doc[live], code[live]
     take = _ragged((np.cumsum(size) - size)[what], size[what])
     both = np.repeat(who, size[what]) * max(1, len(keys)) + number[take]
-    order = np.argsort(both, kind="stable")
-    both = both[order]
+    once = bool((entry.times == 1).all())
+    order = None if once else np.argsort(both, kind="stable")
+    both = np.sort(both) if once else both[order]
     first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
-    times = np.add.reduceat(times[take][order], first) if len(first) else np.zeros(0, np.int64)
+    if once:
+        times = np.diff(np.append(first, len(both)))
+    else:
+        times = np.add.reduceat(entry.times[take][order], first) if len(first) else np.zeros(0, np.int64)
     both = both[first]
     return total, said, both // max(1, len(keys)), both % max(1, len(keys)), times, keys
 

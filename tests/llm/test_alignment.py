@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -93,5 +94,16 @@ def test_odd_rows(spark):
 
 
 def test_groups_from_labels():
-    assert alignment.labels([2, 3], [1, 4], 5) == b"ba..x"
-    assert alignment.groups(b"ba..x.x") == [(2, 2), (1, 1)]
+    label = alignment.labels(np.array([2, 5]), np.array([1, 5]), 5)
+    assert label.tobytes() == b"ba..x"
+    na, nb = alignment.groups(np.frombuffer(b"ba..x.x", np.uint8))
+    assert (na.tolist(), nb.tolist()) == ([2, 1], [2, 1])
+
+
+def test_links_of_large_groups(monkeypatch):
+    ids, n = (np.array([7, 7, 8, 9, 7]), np.array([1, 2, 1, 3, 3, 3])), (np.array([1, 3, 1]), np.array([2, 3, 1]))
+    plain = alignment._links(ids, *n)
+    monkeypatch.setattr(alignment, "MANY", 1)
+    few = alignment._links(ids, *n)
+    total = lambda x: sorted((int(g), int(k), int(x[1][(x[0] == k) & (x[2] == g)].sum())) for g, k in {*zip(x[2].tolist(), x[0].tolist())})
+    assert total(plain) == total(few) and (np.diff(few[2]) >= 0).all()
