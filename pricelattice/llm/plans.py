@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelattice.llm import alignment, ann, codec, langid, lines, neardup, packing, quality, secrets, substrings, toxicity
+from pricelattice.llm import alignment, ann, balance, codec, divergence, langid, lines, neardup, packing, quality, secrets, substrings, toxicity
 from pricelattice.llm.store import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,38 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
 
 
+@query
+def op13_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.mix(documents(spark, sf_dir))
+
+
 @query
 def op12_byte_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir), alignment.paths(), full=False)
+
+
+@query
+def op11_heavy_light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+ORACLES["op11_heavy_light"] = r"""
+with d as (select row_number() over () i, coalesce(lang, '') lang, coalesce(source, '') source, coalesce(text, '') as body from documents),
+groups as (select distinct lang, source from d),
+hits as (select i, lang, source, unnest(regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from d),
+kept as (select lang, term from hits group by 1, 2 having count(distinct i) >= 3),
+own as (select h.lang, h.source, h.term, count(*) n from hits h join kept using (lang, term) group by 1, 2, 3),
+total as (select g.lang, g.source, coalesce(sum(n), 0) n from groups g left join own using (lang, source) group by 1, 2),
+size as (select lang, count(*) v from kept group by 1),
+p as (
+  select t.lang, t.source, k.term, coalesce(o.n, 0) n, 1 + (1000000000::hugeint * (coalesce(o.n, 0) + 1)) // (t.n + s.v)::hugeint p
+  from total t join size s using (lang) join kept k using (lang) left join own o on o.lang = t.lang and o.source = t.source and o.term = k.term),
+q as (
+  select k.lang, k.term, 1 + (1000000000::hugeint * (sum(o.n) + 1)) // (x.n + s.v)::hugeint q
+  from kept k join own o using (lang, term) join size s using (lang) join (select lang, sum(n) n from own group by 1) x using (lang) group by 1, 2, x.n, s.v),
+pairs as (select a.lang, a.source, 'pair' part, b.source item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 4),
+none as (select a.lang, a.source, 'pair' part, b.source item, 0 as value from groups a join groups b on a.lang = b.lang and a.source <> b.source where a.lang not in (select lang from size)),
+terms as (select lang, source, 'term' part, term item, ((p - q) * (p - q)) // q as value from p join q using (lang, term) where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) k from (select * from pairs union all select * from none union all select * from terms))
+select lang, source, part, item, value::bigint as value, k::int as rank from ranked where part = 'pair' or k <= 200
+"""
