@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,16 +78,51 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * 6371.0088 * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-def fao56_et0(tmax: Column, tmin: Column, tmean: Column, rh: Column, wind10: Column, rad_kwh: Column, ps_kpa: Column) -> Column:
-    """Reference evapotranspiration in mm per day by the FAO-56 equation at sea level, without ground heat flux.
+def saturation_kpa(t: Column) -> Column:
+    """Saturation vapour pressure at a temperature."""
+    return 0.6108 * F.exp(17.27 * t / (t + 237.3))
+
+
+def extraterrestrial_mj(lat_deg: Column, day_of_year: Column) -> Column:
+    """Radiation above the air in MJ per square metre and day, from the sun's declination and the length of the day (0 in polar night)."""
+    turn = 2 * math.pi / 365 * day_of_year
+    lat, tilt = F.radians(lat_deg), 0.409 * F.sin(turn - 1.39)
+    sunset = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.tan(lat) * F.tan(tilt))))
+    beam = sunset * F.sin(lat) * F.sin(tilt) + F.cos(lat) * F.cos(tilt) * F.sin(sunset)
+    return F.greatest(24 * 60 / math.pi * 0.0820 * (1 + 0.033 * F.cos(turn)) * beam, F.lit(0.0))
+
+
+def net_longwave_mj(tmax: Column, tmin: Column, ea: Column, short: Column, clear_sky: Column) -> Column:
+    """Net outgoing long-wave radiation. Cloudiness is the short-wave radiation's part of that under a clear sky, at most 1 (1 too where
+    there is none, in polar night)."""
+    part = F.when(clear_sky > 0, F.least(short / clear_sky, F.lit(1.0))).otherwise(1.0)
+    heat = 4.903e-9 * (F.pow(tmax + 273.16, 4) + F.pow(tmin + 273.16, 4)) / 2
+    return heat * (0.34 - 0.14 * F.sqrt(ea)) * (1.35 * part - 0.35)
+
 
-    Net radiation is 0.77 of incoming short wave less 1 MJ of long wave (a fixed mean), since clear-sky terms are not in the input.
-    """
-    sat = lambda t: 0.6108 * F.exp(17.27 * t / (t + 237.3))
-    es = (sat(tmax) + sat(tmin)) / 2
-    ea = es * rh / 100
-    slope = 4098 * sat(tmean) / F.pow(tmean + 237.3, 2)
+def net_radiation_mj(tmax: Column, tmin: Column, ea: Column, short: Column, lat_deg: Column, day_of_year: Column, elevation_m: float = 0.0) -> Column:
+    """Short wave less 23 percent reflected, less net long wave."""
+    clear_sky = (0.75 + 2e-5 * elevation_m) * extraterrestrial_mj(lat_deg, day_of_year)
+    return 0.77 * short - net_longwave_mj(tmax, tmin, ea, short, clear_sky)
+
+
+def wind_at_2m(wind10: Column) -> Column:
+    """Wind at 2 m from wind at 10 m by the logarithmic profile."""
+    return wind10 * 4.87 / math.log(67.8 * 10 - 5.42)
+
+
+def penman_monteith(tmax: Column, tmin: Column, tmean: Column, ea: Column, wind2: Column, net: Column, ps_kpa: Column) -> Column:
+    """Reference evapotranspiration in mm per day by the FAO-56 equation, without ground heat flux; not below 0."""
+    es = (saturation_kpa(tmax) + saturation_kpa(tmin)) / 2
+    slope = 4098 * saturation_kpa(tmean) / F.pow(tmean + 237.3, 2)
     gamma = 0.000665 * ps_kpa
-    u2 = wind10 * 4.87 / F.log(F.lit(67.8 * 10 - 5.42))
-    rn = F.greatest(0.77 * rad_kwh * 3.6 - 1.0, F.lit(0.0))
-    return F.greatest((0.408 * slope * rn + gamma * 900 / (tmean + 273) * u2 * (es - ea)) / (slope + gamma * (1 + 0.34 * u2)), F.lit(0.0))
+    return F.greatest((0.408 * slope * net + gamma * 900 / (tmean + 273) * wind2 * (es - ea)) / (slope + gamma * (1 + 0.34 * wind2)), F.lit(0.0))
+
+
+def fao56_et0(tmax: Column, tmin: Column, tmean: Column, rh: Column, wind10: Column, rad_kwh: Column, ps_kpa: Column, lat_deg: Column, day_of_year: Column, elevation_m: float = 0.0) -> Column:
+    """penman_monteith() from a weather row: mean humidity in percent, wind at 10 m, radiation in kWh, place and day. Null where an input
+    is (greatest() alone would skip it)."""
+    ea = rh / 100 * (saturation_kpa(tmax) + saturation_kpa(tmin)) / 2
+    net = net_radiation_mj(tmax, tmin, ea, rad_kwh * 3.6, lat_deg, day_of_year, elevation_m)
+    known = tmax.isNotNull() & tmin.isNotNull() & tmean.isNotNull() & rh.isNotNull() & wind10.isNotNull() & rad_kwh.isNotNull() & ps_kpa.isNotNull() & lat_deg.isNotNull() & day_of_year.isNotNull()
+    return F.when(known, penman_monteith(tmax, tmin, tmean, ea, wind_at_2m(wind10), net, ps_kpa))

@@ -42,6 +42,12 @@ def parse_contracts(df: DataFrame, name: str = "kontratAdi") -> DataFrame:
     return out.filter("timestamp is not null") if out.filter("timestamp is not null").limit(1).count() else out
 
 
+def with_contract_hour(df: DataFrame, name: str = "kontratAdi") -> DataFrame:
+    """Rows of contracts with an hour in their name, which becomes `date`, the UTC instant as text."""
+    at = contract_hour(F.col(name))
+    return df.filter(at.isNotNull()).withColumn("date", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
 def outage_times(df: DataFrame) -> DataFrame:
     return df.drop("date").withColumnRenamed("startTime", "timestamp")
 

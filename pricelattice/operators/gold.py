@@ -59,6 +59,12 @@ def regression(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
     return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
+def lagged_regression(df: DataFrame, by: list[str], order: list[str], y: str, x: str, lag: int) -> DataFrame:
+    """Regression of y on x of the row `lag` before."""
+    before = F.lag(x, lag).over(Window.partitionBy(*by).orderBy(*order))
+    return regression(df.withColumn("_x", before).filter("_x is not null"), by, y, "_x")
+
+
 def median_index(df: DataFrame, period: str, value: str, base: int) -> DataFrame:
     """Median of each period over the median of the base period."""
     m = df.groupBy(period).agg(F.median(value).alias("median_value"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelattice.functions.numeric import haversine_km
+from pricelattice.operators.cells import sites_within
 
 
 def _seconds(df: DataFrame, c: str) -> Column:
@@ -93,19 +92,8 @@ def interval_join(points: DataFrame, spans: DataFrame, at: str, lo: str, hi: str
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, radius_km: float, point_id: str, site_id: str) -> DataFrame:
-    """Nearest site of each point within a radius. Cells of radius size, and each site offered to its 3 x 3 cells, make an equi-join."""
-    deg = radius_km / 111.0
-    lon_deg = deg / max(0.05, math.cos(math.radians(60)))
-    cell = lambda c, size: F.floor(F.col(c) / size).cast("bigint")
-    p = points.select("*", cell("lat", deg).alias("_cy"), cell("lon", lon_deg).alias("_cx"))
-    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    s = (
-        sites.select(F.col(site_id), F.col("lat").alias("_slat"), F.col("lon").alias("_slon"), cell("lat", deg).alias("_y"), cell("lon", lon_deg).alias("_x"))
-        .withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near))
-        .select(site_id, "_slat", "_slon", (F.col("_y") + F.col("_dy")).alias("_cy"), (F.col("_x") + F.col("_dx")).alias("_cx"))
-    )
-    d = haversine_km(F.col("lat"), F.col("lon"), F.col("_slat"), F.col("_slon"))
-    hits = p.join(s, ["_cy", "_cx"]).withColumn("distance_km", d).filter(F.col("distance_km") <= radius_km)
+    """Nearest site of each point within a radius, at every latitude and across the date line; of equally near sites the least id."""
+    hits = sites_within(points, sites, radius_km, site_id)
     return hits.groupBy(point_id).agg(F.min(F.struct("distance_km", site_id)).alias("_m")).select(point_id, F.col(f"_m.{site_id}").alias(site_id), F.col("_m.distance_km").alias("distance_km"))
 
 

@@ -61,13 +61,17 @@ def season_curve(cheap: list[int]) -> list[float]:
     return [0.80 if m in cheap else 1.00 if {ring(m - 1), ring(m + 1)} & set(cheap) else 1.25 for m in range(1, 13)]
 
 
-def season_multiplier(title: Column, month: Column) -> Column:
-    """Month multiplier of a title by the ordered rules: CASE over literals, inside codegen."""
+def season_months(title: Column) -> Column:
+    """The twelve multipliers of a title by the ordered rules, as an array: the rules are gone through once a row."""
     rule = first_rule(F.lower(title), [(w, i) for i, (w, _) in enumerate(SEASON_RULES)], -1)
     curves = F.array(*[F.array(*[F.lit(v) for v in season_curve(c)]) for _, c in SEASON_RULES])
     default = F.array(*[F.lit(SEASON_DEFAULT[m]) for m in range(1, 13)])
-    curve = F.when(rule < 0, default).otherwise(F.get(curves, rule))
-    return F.get(curve, month - 1)
+    return F.when(rule < 0, default).otherwise(F.get(curves, rule))
+
+
+def season_multiplier(title: Column, month: Column) -> Column:
+    """Month multiplier of a title."""
+    return F.get(season_months(title), month - 1)
 
 
 def deflation_dim(spark: SparkSession, base, targets: list, rates: dict[int, float]) -> DataFrame:
@@ -110,8 +114,8 @@ def yearly_rates(series: DataFrame) -> DataFrame:
     return series.filter(d.isNotNull()).groupBy(F.year(d).alias("year")).agg((F.avg("value") / 100).alias("rate"))
 
 
-def backcast(base: DataFrame, dates: DataFrame, base_month: int) -> DataFrame:
-    """Base rows at each target date: price x deflation x season ratio x noise.
+def backcast(base: DataFrame, dates: DataFrame, base_month: int, noise: bool = True) -> DataFrame:
+    """Base rows at each target date: price x deflation x season ratio x noise (where asked for).
 
     `dates` (target_date, factor) is a dimension of at most a few thousand rows, checked before it is broadcast. All days of a month
     take the factor of its earliest requested day. Rows without a price pass through unchanged.
@@ -121,23 +125,18 @@ def backcast(base: DataFrame, dates: DataFrame, base_month: int) -> DataFrame:
     dim = dates.select("target_date", month.alias("_m")).join(per_month, "_m")
     if dates.limit(20_001).count() > 20_000:
         raise ValueError("more than 20000 target dates: split the run")
-    out = base.crossJoin(F.broadcast(dim))
-    season = season_multiplier(F.col("title"), F.month("target_date")) / season_multiplier(F.col("title"), F.lit(base_month))
-    price = final_price(F.col("price") * F.col("_f") * season * unit_noise(F.col("id"), F.col("depotId"), F.col("target_date")))
+    # A title's twelve multipliers against the base month's are found before its row meets the dates.
+    months = base.withColumn("_s", season_months(F.col("title")))
+    ratios = months.withColumn("_s", F.transform("_s", lambda x: x / F.get(F.col("_s"), F.lit(base_month - 1))))
+    out = ratios.crossJoin(F.broadcast(dim))
+    factor = F.col("_f") * F.get(F.col("_s"), F.month("target_date") - 1)
+    if noise:
+        factor = factor * unit_noise(F.col("id"), F.col("depotId"), F.col("target_date"))
+    price = final_price(F.col("price") * factor)
     cols = {"price": price, "unitPriceValue": price, "unitPrice": price_label(price), "indexTime": F.date_format("target_date", "dd.MM.yyyy '08:00'")}
     for name, c in cols.items():
         out = out.withColumn(f"_new_{name}", c)
     for name in cols:
         new = F.col(f"_new_{name}")
         out = out.withColumn(name, F.when(F.col("_new_price").isNotNull(), new).otherwise(F.col(name) if name in base.columns else F.lit(None)))
-    return out.withColumn("_synthetic", F.lit(True)).drop(*[f"_new_{n}" for n in cols], "_m", "_f")
-
-
-def wholesale_synthetic(base: DataFrame, location: DataFrame) -> DataFrame:
-    """price = base x index(year) / index(2026) x location factor x season x noise of 4 percent."""
-    idx = F.create_map(*[F.lit(x) for k, v in WHOLESALE_INDEX.items() for x in (k, v / WHOLESALE_INDEX[2026])])
-    noise = unit_noise(F.col("urun"), F.col("sehir"), F.col("tarih"), amplitude=0.04)
-    season = season_multiplier(F.col("urun"), F.month("tarih"))
-    factor = idx[F.year("tarih")] * F.coalesce(F.col("location_factor"), F.lit(1.0)) * season * noise
-    j = base.join(location, ["sehir", "kategori"], "left")
-    return j.withColumn("en_dusuk", final_price(F.col("en_dusuk") * factor)).withColumn("en_yuksek", final_price(F.col("en_yuksek") * factor))
+    return out.withColumn("_synthetic", F.lit(True)).drop(*[f"_new_{n}" for n in cols], "_m", "_f", "_s")

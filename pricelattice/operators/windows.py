@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def price_changes(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
@@ -47,27 +45,56 @@ def running_product(df: DataFrame, by: list[str], order: list[str], rate: str) -
     return df.withColumn("factor", F.exp(F.sum(F.log1p(F.col(rate))).over(w)))
 
 
-def clamped_balance(df: DataFrame, by: list[str], at: str, delta: Column, start: float = 75.0, lo: float = 0.0, hi: float = 150.0) -> DataFrame:
-    """state[t] = clamp(state[t-1] + delta[t], lo, hi) in one chain per key.
+def _then(a: Column, b: Column) -> Column:
+    """The clamp b after the clamp a. A clamp (s, lo, hi) takes x to min(hi, max(lo, x + s)); two in a row are one again."""
+    put = lambda x: F.least(F.greatest(x + b["s"], b["lo"]), b["hi"])
+    return F.struct((a["s"] + b["s"]).alias("s"), put(a["lo"]).alias("lo"), put(a["hi"]).alias("hi"))
 
-    Each key's rows are sorted and the state is carried from row to row in constant memory: one step a row, however long the series (a
-    two-sided clamp is no window frame). Equal times go by delta; a null delta leaves the state as it is.
+
+def _put(x: Column, c: Column) -> Column:
+    return F.least(F.greatest(x + c["s"], c["lo"]), c["hi"])
+
+
+def _carried(blocks: DataFrame, by: list[str], at: str, start: float, lot: int) -> DataFrame:
+    """by, at, _x: the state before each block. Blocks are taken in lots, lots in lots of lots, till one lot holds a key's."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(at)) - 1
+    lots = blocks.withColumn("_lot", F.floor(place / lot).cast("bigint")).groupBy(*by, "_lot").agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col("_c").alias("c")))).alias("_in"))
+    whole = F.aggregate(F.slice("_in", 2, F.size("_in")), F.element_at("_in", 1)["c"], lambda a, x: _then(a, x["c"]))
+    above = lots.select(*by, "_lot", whole.alias("_c"))
+    far = above.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_lot", F.col("_c").alias("c")))).alias("_all"))
+    steps = F.aggregate("_all", F.struct(F.lit(start).alias("x"), F.array(F.struct(F.lit(-1).cast("bigint").alias("lot"), F.lit(start).alias("x"))).alias("out")), lambda a, l: F.struct(_put(a["x"], l["c"]).alias("x"), F.concat(a["out"], F.array(F.struct(l["_lot"].alias("lot"), _put(a["x"], l["c"]).alias("x")))).alias("out")))
+    before = far.select(*by, F.explode(steps["out"]).alias("_s")).select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], (F.col("_s.lot") + 1).alias("_l"), F.col("_s.x").alias("_x0"))
+    on = F.col("_lot") == F.col("_l")
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_k{i}"))
+    inner = F.aggregate("_in", F.struct(F.col("_x0").alias("x"), F.filter(F.array(F.struct(F.element_at("_in", 1)["at"].alias("at"), F.col("_x0").alias("x"))), lambda _: F.lit(False)).alias("out")), lambda a, l: F.struct(_put(a["x"], l["c"]).alias("x"), F.concat(a["out"], F.array(F.struct(l["at"].alias("at"), a["x"].alias("x")))).alias("out")))
+    return lots.join(before, on).select(*by, F.explode(inner["out"]).alias("_s")).select(*by, F.col("_s.at").alias(at), F.col("_s.x").alias("_x"))
+
+
+def clamped_balance(df: DataFrame, by: list[str], at: str, delta: Column, start: float = 75.0, lo: float = 0.0, hi: float = 150.0, bucket_s: int = 30 * 86400, lot: int = 256) -> DataFrame:
+    """state[t] = clamp(state[t-1] + delta[t], lo, hi) in one chain per key: by, at, state.
+
+    A key's rows are cut by time into buckets of bucket_s (seconds, or units of a numeric `at`) and further into blocks of `lot` rows. A
+    run of clamped steps is one clamp (s, lo, hi), so blocks are put together side by side, the state before each is found from theirs,
+    and only then rows are stepped through within their block: one key is spread over tasks and nothing leaves the JVM. A bucket is
+    ordered in one task; its rows must be few enough for that. Equal times go by delta; a null delta leaves the state as it is; null
+    times go first.
     """
-    w = Window.partitionBy(*by).orderBy("_at", "_d")
-    s = df.select(*by, F.col(at).alias("_at"), F.coalesce(delta.cast("double"), F.lit(0.0)).alias("_d")).withColumn("_n", F.row_number().over(w))
-    schema = StructType([*[df.schema[c] for c in by], df.schema[at], StructField("state", DoubleType())])
-
-    def run(batches):
-        x = start
-        for b in batches:
-            out = []
-            for n, d in zip(b.column("_n").to_pylist(), b.column("_d").to_pylist(), strict=True):
-                x = (start if n == 1 else x) + d
-                x = min(hi, max(lo, x)) if x == x else hi  # NaN is the greatest number, as in SQL
-                out.append(x)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(by) + 1], pa.array(out, pa.float64())], names=schema.names)
-
-    return s.mapInArrow(run, schema)
+    seconds = (F.col(at).cast("timestamp") if df.schema[at].dataType.typeName() in ("date", "timestamp", "timestamp_ntz") else F.col(at)).cast("double")
+    rows = df.select(*by, F.col(at).alias("_at"), F.coalesce(delta.cast("double"), F.lit(0.0)).alias("_d"), F.coalesce(F.floor(seconds / bucket_s).cast("bigint"), F.lit(-(1 << 62))).alias("_b"))
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_at", "_d")) - 1
+    blocks = rows.withColumn("_n", F.floor(place / lot).cast("int")).groupBy(*by, "_b", "_n").agg(F.array_sort(F.collect_list(F.struct(F.col("_at").isNotNull().alias("k"), F.col("_at").alias("at"), F.col("_d").alias("d")))).alias("_rows"))
+    step = lambda d: F.struct(d.alias("s"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
+    whole = F.aggregate(F.slice("_rows", 2, F.size("_rows")), step(F.element_at("_rows", 1)["d"]), lambda a, r: _then(a, step(r["d"])))
+    blocks = blocks.withColumn("_at_block", F.struct("_b", "_n"))
+    before = _carried(blocks.select(*by, "_at_block", whole.alias("_c")), by, "_at_block", float(start), lot)
+    before = before.select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.col("_at_block").alias("_ab"), "_x")
+    on = F.col("_at_block") == F.col("_ab")
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_k{i}"))
+    states = F.aggregate("_rows", F.struct(F.col("_x").alias("x"), F.array().cast("array<double>").alias("out")), lambda a, r: F.struct(_put(a["x"], step(r["d"])).alias("x"), F.concat(a["out"], F.array(_put(a["x"], step(r["d"])))).alias("out")))["out"]
+    out = blocks.join(before, on).select(*by, F.explode(F.arrays_zip(F.col("_rows"), states.alias("x"))).alias("_z"))
+    return out.select(*by, F.col("_z._rows.at").alias(at), F.col("_z.x").alias("state"))
 
 
 def last_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

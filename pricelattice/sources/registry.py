@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from pricelattice import schemas
+from pricelattice.sources import datasets
 
 
 @dataclass
@@ -21,16 +22,6 @@ class SourceSpec:
 
 
 REGISTRY: dict[str, SourceSpec] = {}
-# The energy datasets.
-ENERGY_DATASETS = [
-    "price_and_cost", "consumption", "real_time_generation", "injection_quantity", "renewable_injection_quantity", "wind_forecast",
-    "renewable_unit_cost", "renewable_total_cost", "zero_balance_adjustment", "transmission_loss_factor", "primary_frequency_capacity",
-    "secondary_frequency_capacity", "mcp_smp_imbalance", "natural_gas_spot", "natural_gas_balancing", "intraday_market", "dam_daily_level",
-    "dam_active_fullness", "planned_outages", "unplanned_outages", "dam_volume", "realtime_consumption", "renewable_realtime_generation",
-    "kgup", "dam_active_volume", "natural_gas_daily_transmission",
-]
-
-
 def register(spec: SourceSpec) -> SourceSpec:
     REGISTRY[spec.name] = spec
     return spec
@@ -50,18 +41,17 @@ for _name, _schema, _part, _keys in [
     ("weather", "WEATHER_NESTED", ["year", "month"], ["city_id", "timestamp"]),
 ]:
     register(SourceSpec(_name, _schema, _part, _keys))
-# Months that one request may span, where these are not 12.
-RANGE_MONTHS = {
-    "real_time_generation": 3, "injection_quantity": 3, "renewable_injection_quantity": 3, "wind_forecast": 1, "intraday_market": 3,
-    "dam_daily_level": 999, "dam_active_fullness": 999, "planned_outages": 1, "unplanned_outages": 1, "realtime_consumption": 3,
-    "renewable_realtime_generation": 1, "kgup": 3, "dam_active_volume": 999,
-}
 
 
-def _as_found(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines with all fields that they have: the energy datasets' columns differ and are not declared."""
-    return spark.read.json(path)
+def _landed(name: str):
+    """Reader of a dataset's landed JSON lines: normalised rows with its declared fields."""
+    def read(spark: SparkSession, path: str) -> DataFrame:
+        from pricelattice.sources.readers import read_jsonl
+
+        return read_jsonl(spark, path, datasets.landed_schema(name))[0]
+
+    return read
 
 
-for _name in ENERGY_DATASETS:
-    register(SourceSpec(f"epias/{_name}", "ENERGY", ["year", "month"], ["timestamp", "contract"], RANGE_MONTHS.get(_name, 12), None if _name == "price_and_cost" else _as_found))
+for _name, _spec in datasets.DATASETS.items():
+    register(SourceSpec(f"epias/{_name}", f"epias/{_name}", ["year", "month"], ["timestamp", *_spec.keys], _spec.months, _landed(_name)))

@@ -99,19 +99,6 @@ def run_log_row(spark: SparkSession, source: str, bucket: str, mb_before: float,
     return row.select(F.current_timestamp().alias("ts"), "*", safe_ratio(F.col("mb_before"), F.col("mb_after")).alias("ratio"))
 
 
-def commit_state(spark: SparkSession, rows: DataFrame, path: str, key: str, at: str) -> None:
-    """Control table: newest time per key. A run without rows leaves a key's time as it was."""
-    seen = rows.groupBy(key).agg(F.max(at).alias("last_observation_at")).filter("last_observation_at is not null")
-    old = table_or_none(spark, path)
-    merged = seen if old is None else old.select(key, "last_observation_at").unionByName(seen).groupBy(key).agg(F.max("last_observation_at").alias("last_observation_at"))
-    rows_now = merged.collect()  # one row per dataset: a few dozen
-    spark.createDataFrame(rows_now, merged.schema).coalesce(1).write.mode("overwrite").parquet(path)
-
-
-def stale(state: DataFrame, now, minutes: int) -> DataFrame:
-    return state.filter(F.col("last_observation_at").isNull() | (F.unix_timestamp(now) - F.unix_timestamp("last_observation_at") >= minutes * 60))
-
-
 def kafka_sink(df: DataFrame, topic: str, key: str, servers: str, checkpoint: str):
     """A stream to a topic, keyed by SQL over its columns, all replicas acknowledged. Needs the Kafka connector on the class path."""
     out = df.select(F.expr(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))

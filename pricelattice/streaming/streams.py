@@ -57,27 +57,3 @@ def quarantine_sink(good_path: str, bad_path: str, schema: T.StructType):
         bad.write.mode("overwrite").parquet(f"{bad_path}/batch={batch_id}")
 
     return write
-
-
-def jump_alerts(df: DataFrame, key: str, value: str, at: str, jump: float = 0.5) -> DataFrame:
-    """Rows whose value rose by `jump` or more over the key's value before, with one price of state per key (48 h timeout)."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    out = T.StructType([df.schema[key], T.StructField(at, df.schema[at].dataType), T.StructField("prev", T.DoubleType()), T.StructField("now", T.DoubleType())])
-
-    def step(k, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        prev, rows = (state.get[0] if state.exists else None), pd.concat(list(batches)).sort_values(at)
-        hits = []
-        for t, v in zip(rows[at], rows[value], strict=True):
-            if prev is not None and prev > 0 and v >= prev * (1 + jump):
-                hits.append((k[0], t, prev, v))
-            prev = v
-        state.update((prev,))
-        state.setTimeoutTimestamp(int(max(state.getCurrentWatermarkMs(), rows[at].max().value // 10**6)) + 48 * 3600 * 1000)
-        yield pd.DataFrame(hits, columns=[key, at, "prev", "now"])
-
-    return df.withWatermark(at, WATERMARK).groupBy(key).applyInPandasWithState(step, out, T.StructType([T.StructField("prev", T.DoubleType())]), "append", GroupStateTimeout.EventTimeTimeout)

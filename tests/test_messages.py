@@ -58,5 +58,5 @@ def test_report_files(spark, tmp_path):
 
 def test_energy_sources(spark, tmp_path):
     assert registry.REGISTRY["epias/wind_forecast"].max_range_months == 1 and registry.REGISTRY["epias/dam_volume"].max_range_months == 12
-    (tmp_path / "dam.jsonl").write_text('{"timestamp": "2024-01-01T00:00:00+03:00", "damName": "x", "level": 1.5}\n')
-    assert registry.load(spark, "epias/dam_daily_level", str(tmp_path / "dam.jsonl")).select("damName", "level").collect() == [("x", 1.5)]
+    (tmp_path / "dam.jsonl").write_text('{"timestamp": "2024-01-01T00:00:00+03:00", "damName": "x", "currentLevel": 1.5}\n')
+    assert registry.load(spark, "epias/dam_daily_level", str(tmp_path / "dam.jsonl")).select("damName", "currentLevel").collect() == [("x", 1.5)]
