@@ -16,6 +16,8 @@ BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A second table, drawn apart from the first: bytes that meet under one do not for that meet under the other.
+_OTHER = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _pow = np.ones(1, np.uint64)
 NO_DOCS = np.zeros(0, np.int64)
@@ -95,23 +97,23 @@ class Spans:
         """Document of each word."""
         return np.repeat(np.arange(len(self.doc) - 1), np.diff(self.doc))
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
-        """64-bit hash of each word's bytes."""
+    def hashes(self, seed: int = 0, other: bool = False) -> np.ndarray:
+        """64-bit hash of each word's bytes; `other` gives a second one, independent of the first."""
         if not len(self):
             return np.zeros(0, np.uint64)
-        return hash_spans(self.data, self.start, self.end, self.word, seed)
+        return hash_spans(self.data, self.start, self.end, self.word, seed, other)
 
     def bytes(self, i: np.ndarray) -> list[bytes]:
         raw = self.data.tobytes()
         return [raw[a:b] for a, b in zip(self.start[i].tolist(), self.end[i].tolist(), strict=True)]
 
 
-def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, inside: np.ndarray | None, seed: int = 0) -> np.ndarray:
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, inside: np.ndarray | None, seed: int = 0, other: bool = False) -> np.ndarray:
     """Hash of spans in rising order that do not overlap; bytes outside `inside` count for nothing."""
     n = len(data)
     at = np.arange(n, dtype=np.int64)
     at[start[0] :] -= np.repeat(start, np.diff(np.append(start, n)))
-    v = _BYTE[data]
+    v = (_OTHER if other else _BYTE)[data]
     v *= powers(int(at.max()) + 1)[at]
     if inside is not None:
         v *= inside

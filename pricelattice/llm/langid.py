@@ -6,8 +6,8 @@ the sample is held back: there a temperature is fitted, and the least score at w
 rejection threshold (`accepted`).
 
 Fitted on a bounded sample: at most PER_LANG texts of each language (fewer where there are over MOST / PER_LANG languages, so that about
-MOST rows teach in all, LEAST of each language at least), by the least hashes of (doc_id, text), whole texts, of which those that would
-exceed the language's part of SAMPLE_BYTES are left out. Every text and every byte of it is scored. Null text and text without a letter
+MOST rows teach in all, LEAST of each language at least), by the least hashes of (doc_id, text), whole texts. Where they have more
+than the language's part of SAMPLE_BYTES in all, the longest of them are left out, never the last one and never any other. Every text and every byte of it is scored. Null text and text without a letter
 give 'und' with score 0, as does everything if no row has a language. A repeated row teaches once; repeated rows and null or repeated
 doc_id are scored row by row; extra columns are ignored; an empty table gives no rows.
 """
@@ -48,7 +48,7 @@ def grams(data: np.ndarray, bounds: np.ndarray):
 
 def sample(docs: DataFrame, with_class, keep: list[str], quota: Column, most: int, most_bytes: int, seed: int) -> pa.Table:
     """text, __pl_class and `keep` columns of at most `quota` (`most` at the most) distinct rows of each class, those of the least hashes
-    of (doc_id, text).
+    of (doc_id, text), less the longest of them where they have more than most_bytes in all.
 
     with_class(keys) adds __pl_class (dropping rows without one) to narrow rows: doc_id, `keep` and a hash of the text. Only they are
     shuffled, each task sending no more than a class's quota; the rows chosen are few and counted before they are broadcast to the texts.
@@ -59,8 +59,11 @@ def sample(docs: DataFrame, with_class, keep: list[str], quota: Column, most: in
     keys = with_class(keys).groupBy("__pl_class", "__pl_u", "__pl_h").agg(F.max("__pl_size").alias("__pl_size"))
     of = Window.partitionBy("__pl_class").orderBy("__pl_u", "__pl_h")
     few = written(keys.withColumn("__pl_rank", F.row_number().over(of)).filter(F.col("__pl_rank") <= most), "sample_keys").filter(F.col("__pl_rank") <= quota)
-    total = F.sum("__pl_size").over(of.rowsBetween(Window.unboundedPreceding, 0))
-    chosen = written(few.withColumn("__pl_total", total).filter(F.col("__pl_total") <= most_bytes).select("__pl_class", "__pl_h"), "sample")
+    # Memory: where a class's texts have more than most_bytes in all, its longest ones go, however they rank; the shortest always stays.
+    short = Window.partitionBy("__pl_class").orderBy("__pl_size", "__pl_u", "__pl_h")
+    total = F.sum("__pl_size").over(short.rowsBetween(Window.unboundedPreceding, 0))
+    fits = few.withColumn("__pl_total", total).withColumn("__pl_nth", F.row_number().over(short)).filter((F.col("__pl_total") <= most_bytes) | (F.col("__pl_nth") == 1))
+    chosen = written(fits.select("__pl_class", "__pl_h"), "sample")
     small = chosen.count() <= 4 * MOST
     hit = docs.select("text", *keep, h.alias("__pl_h")).join(F.broadcast(chosen) if small else chosen, "__pl_h")
     return hit.groupBy("__pl_h", "__pl_class").agg(F.min(F.struct("text", *keep)).alias("r")).orderBy("__pl_h").select("r.text", "__pl_class", *[f"r.{c}" for c in keep]).toArrow()
@@ -155,7 +158,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
 
         letter, m = regex.compile(r"\p{L}"), shared.value
         for b in batches:
-            col = b.column("text")
+            col = b.column("__pl_text")
             data, off = text_buffers(col)
             ascii_letter = pc.fill_null(pc.match_substring_regex(col, "[A-Za-z]"), False).to_numpy(zero_copy_only=False)
             for lo, hi in slices(off):
@@ -171,4 +174,4 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                     ok = known & (score >= m.least)
                 yield pa.RecordBatch.from_arrays([*(b.column(c)[lo:hi] for c in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(ok)], names=schema.names)
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("__pl_text")).mapInArrow(run, schema)

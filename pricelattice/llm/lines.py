@@ -8,8 +8,9 @@ with a word are named by a 128-bit digest of their bytes. A name that occurs mor
 line); the others are compared with the first one's bytes and, where equal, their lines go. Two occurrences of a pair of equal lines that
 overlap the first are not a repeat. The first occurrence of a line always stays; of a passage, those lines that no earlier passage covers.
 
-Lines are what "\\n" separates. Null text stays null and has no lines; rows of one doc_id count as one document (its first occurrences
-stay in each of its rows); a null doc_id is an id that sorts first; all columns of the input stay, with n_lines and n_removed added by
+Lines are what "\\n" separates. Null text stays null and has no lines. A document is a doc_id with a text: rows equal in both count as
+one (its first occurrences stay in each of them), several texts of one doc_id, or of none, as several, in the order of a hash; a null
+doc_id is an id that sorts first; all columns of the input stay, with n_lines and n_removed added by
 dedup_report(); an empty table gives no rows.
 """
 
@@ -92,38 +93,46 @@ def passages(data: np.ndarray, bounds: np.ndarray):
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, line, lines, even (two equal lines) of every passage."""
-    schema = docs.select("doc_id").schema.add("digest", "binary").add("line", "integer").add("lines", "integer").add("even", "boolean")
+    """digest, doc_id, __pl_row, line, lines, even (two equal lines) of every passage."""
+    docs = keyed(docs)
+    schema = docs.select("doc_id", "__pl_row").schema.add("digest", "binary").add("line", "integer").add("lines", "integer").add("even", "boolean")
 
     def run(batches):
         for b in batches:
             data, off = text_buffers(b.column("text"))
-            ids = b.column("doc_id")
+            ids, own = b.column("doc_id"), b.column("__pl_row")
             for lo, hi in slices(off):
                 part = data[off[lo] : off[hi]]
                 (doc, line, n, a, e, even), _, _ = passages(part, off[lo : hi + 1] - off[lo])
                 raw = part.tobytes()
                 digest = [hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(a.tolist(), e.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + lo)), pa.array(digest, pa.binary()), pa.array(line, pa.int32()), pa.array(n, pa.int32()), pa.array(even, pa.bool_())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + lo)), own.take(pa.array(doc + lo)), pa.array(digest, pa.binary()), pa.array(line, pa.int32()), pa.array(n, pa.int32()), pa.array(even, pa.bool_())], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "__pl_row", "text").mapInArrow(run, schema)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds __pl_row, a hash of doc_id and text: what names a document, also where doc_id is null or has several texts. Were two texts to
+    share it, the comparison of bytes at the places told would still keep lines that differ."""
+    return docs.withColumn("__pl_row", F.xxhash64("doc_id", "text"))
 
 
 def dedup_report(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """All columns of docs, with repeated passages removed from text, and the numbers of lines and of removed lines under `names`."""
     table = written(chunk_table(docs), "chunks")
-    at = F.struct("doc_id", "line", "lines")
-    firsts = table.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first <> last or (first.doc_id is null and last.doc_id is not null)").select("digest", "first")
+    at = F.struct(F.isnotnull("doc_id").alias("known"), "doc_id", "__pl_row", "line", "lines")  # a null doc_id sorts first
+    firsts = table.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("not first <=> last").select("digest", "first")
     firsts = written(firsts, "firsts")
     # Bytes of each first occurrence, cut from its own document.
-    wanted = firsts.groupBy(F.col("first.doc_id").alias("__pl_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), F.col("first.lines").alias("lines"), "digest")).alias("__pl_want"))
-    cut = _apply(docs.select("doc_id", "text"), wanted, _cut_bytes, "digest binary, bytes binary", [])
+    wanted = firsts.groupBy(F.col("first.__pl_row").alias("__pl_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), F.col("first.lines").alias("lines"), "digest")).alias("__pl_want"))
+    docs = keyed(docs)
+    cut = _apply(docs.select("__pl_row", "text"), wanted, _cut_bytes, "digest binary, bytes binary", [])
     bytes_of = written(cut.dropDuplicates(["digest"]), "bytes")  # so that a hot digest's partition of the next join can be split
     on_first = (F.col("line") == F.col("first.line")) | (F.col("even") & (F.col("line") == F.col("first.line") + 1))
-    others = table.join(firsts, "digest").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & on_first))
-    lists = others.join(bytes_of, "digest").groupBy(F.col("doc_id").alias("__pl_id")).agg(F.collect_list(F.struct("line", "lines", "bytes")).alias("__pl_want"))
-    keep = list(docs.columns)
-    schema = StructType([*docs.schema.fields, *[StructField(n, LongType()) for n in names]])
+    others = table.join(firsts, "digest").filter(~((F.col("__pl_row") == F.col("first.__pl_row")) & on_first))
+    lists = others.join(bytes_of, "digest").groupBy(F.col("__pl_row").alias("__pl_id")).agg(F.collect_list(F.struct("line", "lines", "bytes")).alias("__pl_want"))
+    keep = [c for c in docs.columns if c != "__pl_row"]
+    schema = StructType([*docs.select(*keep).schema.fields, *[StructField(n, LongType()) for n in names]])
     return _apply(docs, lists, _remove, schema, keep)
 
 
@@ -140,7 +149,7 @@ def _apply(docs: DataFrame, lists: DataFrame, f, schema, keep: list[str]) -> Dat
     """Runs f on documents beside the list of passages that concern them."""
     how = "left" if keep else "inner"
     # A merge join at every size: the lists grow with the input, so they are never broadcast.
-    j = docs.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__pl_id")), how).drop("__pl_id")
+    j = docs.join(lists.hint("merge"), F.col("__pl_row") == F.col("__pl_id"), how).drop("__pl_id")
 
     def run(batches):
         for b in batches:

@@ -9,7 +9,8 @@ of least hash at the highest round that has such a symbol. So two equal windows
 Runs of windows with one anchor form one row (anchor, doc_id, first window, windows, digest of their words). Anchors seen in two
 documents are compared: rows with equal digests are copies, of which only the one of smallest doc_id is compared further, window by
 window on a 64-bit hash of the words beside the 64-bit anchor; a window goes if a smaller doc_id has it. A passage in very many
-documents thus costs each of them a row, and never a pair of documents. Words are taken as equal if both hashes are, 128 bits in all.
+documents thus costs each of them a row, and never a pair of documents. The anchor rests on one
+hash of a word's bytes, the digest on another drawn apart from it; words are taken as equal if both are, 128 bits in all.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Null text has no words; rows of one doc_id count as one document, and what is found in one of them is cut
 from a row only where that row has the same words; rows without doc_id keep all words and are no source of others; extra columns are ignored; an empty table gives no rows.
@@ -154,7 +155,7 @@ def occurrence_table(docs: DataFrame, width: int) -> DataFrame:
             for lo, _, s in _rows(b):
                 words = s.hashes()
                 anchor, doc, win, n = anchors(words, s.doc, width)
-                digest = WindowHash(words).of(win, win + n + width - 1)
+                digest = WindowHash(s.hashes(other=True)).of(win, win + n + width - 1)
                 ids = b.column("doc_id").take(pa.array(doc + lo, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(anchor.view(np.int64)), pa.array((win - s.doc[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(digest.view(np.int64))], names=schema.names)
 
@@ -177,7 +178,7 @@ def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches):
         for b in batches:
             for lo, hi, s in _rows(b):
-                h = WindowHash(s.hashes())
+                h = WindowHash(s.hashes(other=True))
                 doc, anchor, words, at = [], [], [], []
                 for k in range(lo, hi):
                     w0, w1 = int(s.doc[k - lo]), int(s.doc[k - lo + 1])
@@ -209,7 +210,7 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches):
         for b in batches:
             for lo, hi, s in _rows(b):
-                h = WindowHash(s.hashes())
+                h = WindowHash(s.hashes(other=True))
                 n, removed, kept = [], [], []
                 raw = s.data.tobytes()
                 for k in range(lo, hi):
