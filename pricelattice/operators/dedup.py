@@ -50,6 +50,15 @@ def only_known(df: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     return df.alias("n").join(known.select(*keys).distinct().alias("e"), _null_safe(keys, "n", "e"), "left_semi")
 
 
+def first_links(links: DataFrame, href: str, name: str, order: list[str], without: str | None = None) -> DataFrame:
+    """Every address once, from its first link in `order`; links without an address or a name go, and those whose name holds `without`
+    (the entry for the whole country, for instance), in any case."""
+    ok = links.filter((F.trim(F.coalesce(name, F.lit(""))) != "") & (F.coalesce(href, F.lit("")) != ""))
+    if without:
+        ok = ok.filter(~F.lower(name).contains(without.lower()))
+    return keep_one(ok, [href], [F.col(c) for c in order])
+
+
 def by_priority(frames: list[tuple[str, DataFrame]], keys: list[str]) -> DataFrame:
     """Union of named sources, in falling priority; for a key the first source that has it wins, and of its rows the least. Adds `source`."""
     tagged = [df.withColumn("source", F.lit(name)).withColumn("_prio", F.lit(i)) for i, (name, df) in enumerate(frames)]

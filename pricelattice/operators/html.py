@@ -46,6 +46,13 @@ def nested_cards(df: DataFrame, page: str, html: str, tag: str, marked: str = ""
     return out.select(page, (F.row_number().over(Window.partitionBy(page).orderBy("i")) - 1).alias("card_no"), F.col("depth").cast("int").alias("depth"), "inner")
 
 
+def links(df: DataFrame, page: str, html: str) -> DataFrame:
+    """page, pos, href, name (its text, tags and all) of every link of a page, in order."""
+    pattern = r'(?is)<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+    both = F.arrays_zip(F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1)).alias("href"), F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(2)).alias("name"))
+    return df.select(page, F.posexplode(both).alias("pos", "_a")).select(page, "pos", "_a.href", "_a.name")
+
+
 def lines(inner: Column) -> Column:
     """The text between tags as lines: trimmed, none empty, common entities read."""
     text = F.regexp_replace(inner, "<[^>]*>", "\n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -82,13 +83,26 @@ def event_study(events: DataFrame, series: DataFrame, day: str, value: str, offs
     return e.join(s, [*keys, "_d"], "left").withColumnRenamed("_d", "effect_day")
 
 
-def interval_join(points: DataFrame, spans: DataFrame, at: str, lo: str, hi: str, width: float, by: list[str] | None = None) -> DataFrame:
-    """Points within [lo, hi] of a span. Spans are cut into buckets of `width`, so both sides meet on an equi-key."""
+#: Each level of spans has buckets so many times as wide as the one before.
+LEVEL_STEP = 8
+
+
+def interval_join(points: DataFrame, spans: DataFrame, at: str, lo: str, hi: str, width: float, by: list[str] | None = None, longest: float | None = None) -> DataFrame:
+    """Points within [lo, hi] of a span: an equi-join on buckets of `width`.
+
+    A span goes to each bucket that it touches, so spans should be about as long as a bucket is wide. Where `longest` is stated (in the
+    unit of width), spans are sorted into levels of wider and wider buckets by their length, touch at most LEVEL_STEP + 1 of their level,
+    and a point asks every level up to that of the longest; longer spans than stated stay at the last level and are found all the same.
+    """
     keys = by or []
-    p = points.withColumn("_k", F.floor(_seconds(points, at) / width).cast("bigint"))
-    cell = lambda c: F.floor(_seconds(spans, c) / width).cast("bigint")
-    s = spans.filter(F.col(lo) <= F.col(hi)).withColumn("_k", F.explode(F.sequence(cell(lo), cell(hi))))
-    return p.join(s, [*keys, "_k"]).filter((F.col(at) >= F.col(lo)) & (F.col(at) <= F.col(hi))).drop("_k")
+    levels = 1 if longest is None else max(1, math.ceil(math.log(max(longest / width, 1.0), LEVEL_STEP)) + 1)
+    p = points.withColumn("_v", F.explode(F.array(*map(F.lit, range(levels))))) if levels > 1 else points.withColumn("_v", F.lit(0))
+    bucket = lambda t, level: F.floor(t / (width * F.pow(F.lit(float(LEVEL_STEP)), level))).cast("bigint")
+    p = p.withColumn("_k", bucket(_seconds(points, at), F.col("_v")))
+    a, b = _seconds(spans, lo), _seconds(spans, hi)
+    level = F.least(F.lit(levels - 1), F.ceil(F.log(F.greatest((b - a) / width, F.lit(1.0))) / math.log(LEVEL_STEP) - 1e-9)).cast("int")
+    s = spans.filter(F.col(lo) <= F.col(hi)).withColumn("_v", level).withColumn("_k", F.explode(F.sequence(bucket(a, F.col("_v")), bucket(b, F.col("_v")))))
+    return p.join(s, [*keys, "_v", "_k"]).filter((F.col(at) >= F.col(lo)) & (F.col(at) <= F.col(hi))).drop("_k", "_v")
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, radius_km: float, point_id: str, site_id: str) -> DataFrame:
@@ -113,6 +127,16 @@ def lookup(df: DataFrame, dim: DataFrame, keys: list[str], bound_rows: int = 100
     return df.join(F.broadcast(dim) if small else dim, keys, "left")
 
 
+STRATEGIES = ("broadcast", "merge", "shuffle_hash")
+
+
+def by_strategy(left: DataFrame, right: DataFrame, keys: list[str], strategy: str | None = None, how: str = "inner") -> DataFrame:
+    """Equi-join by a strategy that the caller knows to be right (broadcast: the right side is small on every run), or by Spark's choice."""
+    if strategy is not None and strategy not in STRATEGIES:
+        raise ValueError(strategy)
+    return left.join(right.hint(strategy) if strategy else right, keys, how)
+
+
 def first_rule_join(key: Column, rules: list[tuple[int, str, str]], both_ways: bool = True) -> Column:
     """Target of the first rule (ordinal, needle, target) that matches by containment, as a column over a literal array."""
     arr = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(n).alias("n"), F.lit(t).alias("t")) for o, n, t in sorted(rules)])

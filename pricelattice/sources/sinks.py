@@ -99,7 +99,11 @@ def run_log_row(spark: SparkSession, source: str, bucket: str, mb_before: float,
     return row.select(F.current_timestamp().alias("ts"), "*", safe_ratio(F.col("mb_before"), F.col("mb_after")).alias("ratio"))
 
 
+def keyed_messages(df: DataFrame, key: str) -> DataFrame:
+    """key (SQL over the columns) and value (all columns as JSON) of each row, as a topic takes them."""
+    return df.select(F.expr(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
+
+
 def kafka_sink(df: DataFrame, topic: str, key: str, servers: str, checkpoint: str):
     """A stream to a topic, keyed by SQL over its columns, all replicas acknowledged. Needs the Kafka connector on the class path."""
-    out = df.select(F.expr(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
-    return out.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all").option("topic", topic).option("checkpointLocation", checkpoint)
+    return keyed_messages(df, key).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all").option("topic", topic).option("checkpointLocation", checkpoint)

@@ -13,6 +13,25 @@ TOPICS = {
     "raw_epias": "concat(dataset, ':', hour)", "raw_tcmb": "series", "raw_akaryakit": "concat(il, ':', urun)",
 }
 
+# Partitions of a topic, days that it keeps messages, and messages that it gets a minute.
+CONTRACT = {
+    "raw_market_prices": (12, 7, 50_000 / 1440), "raw_hal_prices": (6, 30, 2_000 / 1440), "raw_weather": (12, 7, 2_000 / 60), "raw_gdelt": (6, 7, 5_000 / 15),
+    "raw_epias": (6, 30, 288 / 1440), "raw_tcmb": (3, 30, 30 / 1440), "raw_akaryakit": (3, 30, 500 / 1440),
+}
+
+
+def topic_options(topic: str, trigger_s: int = 60, ahead: float = 20.0) -> dict[str, str]:
+    """Source options by the topic's contract: a trigger takes `ahead` times what comes between two, so a backlog drains, in as many
+    tasks as the topic has partitions; a query that was off for longer than messages are kept fails instead of skipping them."""
+    partitions, _, per_minute = CONTRACT[topic]
+    most = max(partitions * 100, round(per_minute * trigger_s / 60 * ahead))
+    return {"subscribe": topic, "minPartitions": str(partitions), "maxOffsetsPerTrigger": str(most), "failOnDataLoss": "true", "startingOffsets": "earliest"}
+
+
+def expired(topic: str, at, now):
+    """Whether a message of that time is past the topic's retention."""
+    return F.unix_timestamp(now) - F.unix_timestamp(at) > CONTRACT[topic][1] * 86400
+
 
 def read_events(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", max_files: int = 50, **options: str) -> DataFrame:
     """File or Kafka stream with back-pressure."""
@@ -57,3 +76,8 @@ def quarantine_sink(good_path: str, bad_path: str, schema: T.StructType):
         bad.write.mode("overwrite").parquet(f"{bad_path}/batch={batch_id}")
 
     return write
+
+
+def bronze_sink(df: DataFrame, path: str, checkpoint: str, at: str):
+    """A stream to Parquet by day of `at`; the file sink's log makes each batch appear once."""
+    return df.withColumn("day", F.date_format(at, "yyyy-MM-dd")).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("day")

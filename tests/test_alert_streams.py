@@ -155,3 +155,33 @@ def test_flags_and_messages_are_columns(spark):
     d = spark.createDataFrame([(0.0, 20.0), (0.1, None)], "t2m_min double, prectotcorr double")
     assert [(r.frost, r.heavy_rain) for r in weather.flags(d).collect()] == [(True, True), (False, False)]
     assert json.loads(d.select(F.to_json(F.struct("*")).alias("j")).first().j) == {"t2m_min": 0.0, "prectotcorr": 20.0}
+
+
+# ---- topics
+
+
+def test_topic_contract():
+    assert set(streams.CONTRACT) == set(streams.TOPICS)
+    o = streams.topic_options("raw_gdelt", trigger_s=900)
+    assert o["minPartitions"] == "6" and int(o["maxOffsetsPerTrigger"]) == 100_000 and streams.topic_options("raw_tcmb")["maxOffsetsPerTrigger"] == "300"
+
+
+def test_retention(spark):
+    d = spark.createDataFrame([(dt.datetime(2024, 1, 1),), (dt.datetime(2024, 1, 5),)], "at timestamp")
+    now = F.lit(dt.datetime(2024, 1, 9)).cast("timestamp")
+    assert [r.x for r in d.select(streams.expired("raw_weather", "at", now).alias("x")).collect()] == [True, False]
+    assert [r.x for r in d.select(streams.expired("raw_hal_prices", "at", now).alias("x")).collect()] == [False, False]
+
+
+def test_bronze_and_message_streams(spark, tmp_path):
+    src = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    src.repartition(3).write.parquet(str(tmp_path / "in"))
+    read = lambda: streams.read_events(spark, str(tmp_path / "in"), src.schema, max_files=1)
+    for _ in range(2):  # a second run finds nothing new
+        streams.bronze_sink(read(), str(tmp_path / "out"), str(tmp_path / "cp"), "ts").trigger(availableNow=True).start().awaitTermination(120)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == src.count() and out.select("day").distinct().count() == src.select(F.to_date("ts")).distinct().count()
+    q = sinks.keyed_messages(read(), "concat(event_type, ':', user_id)").writeStream.format("parquet").option("path", str(tmp_path / "msg")).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    r = spark.read.parquet(str(tmp_path / "msg")).filter("key like 'click:%'").first()
+    assert r.key == f"click:{json.loads(r.value)['user_id']}" and spark.read.parquet(str(tmp_path / "msg")).count() == src.count()

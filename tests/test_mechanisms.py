@@ -306,3 +306,45 @@ def test_ranks_equal_window_functions(spark):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     sizes = d.filter("k = 'a'").groupBy(ranking.value_range(F.col("v"))).count().agg(F.max("count")).first()[0]
     assert sizes < 0.2 * d.filter("k = 'a'").count()
+
+
+# ---- joins
+
+
+@pytest.mark.parametrize("longest", [None, 50.0, 5000.0])
+def test_spans_of_every_length(spark, longest):
+    rng = random.Random(12)
+    spans = [(i, a := rng.uniform(-500, 500), a + rng.choice([0, 0.5, 3, 40, 700, 4000, -1])) for i in range(150)]
+    points = [(i, rng.uniform(-600, 5000)) for i in range(400)] + [(1000 + i, s[1]) for i, s in enumerate(spans)] + [(2000 + i, s[2]) for i, s in enumerate(spans)]
+    p = spark.createDataFrame([*points, (9999, None)], "p int, t double")
+    s = spark.createDataFrame([*spans, (999, None, 5.0)], "s int, a double, b double")
+    got = [tuple(r) for r in joins.interval_join(p, s, "t", "a", "b", 2.0, longest=longest).select("p", "s").collect()]
+    assert sorted(got) == sorted((i, k) for i, t in points for k, a, b in spans if a <= t <= b)
+
+
+def test_strategies_are_taken(spark):
+    a, b = spark.range(10).withColumnRenamed("id", "k"), spark.range(5).withColumnRenamed("id", "k")
+    plan = lambda s: joins.by_strategy(a, b, ["k"], s)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan("broadcast") and "SortMergeJoin" in plan("merge") and "ShuffledHashJoin" in plan("shuffle_hash")
+    with pytest.raises(ValueError):
+        joins.by_strategy(a, b, ["k"], "magic")
+
+
+def test_first_links(spark):
+    from pricelattice.operators import dedup
+
+    page = '<a href="/x">Ankara</a><A class=c HREF="/y"><b>İzmir</b></A><a href="/x">again</a><a href="">none</a><a href="/z"> </a><a href="/tr">TÜRKİYE geneli</a>'
+    l = html.links(spark.createDataFrame([(2, page), (1, '<a href="/y">first</a>')], "id int, h string"), "id", "h")
+    got = {(r.href, r.name, r.id) for r in dedup.first_links(l, "href", "name", ["id", "pos"], without="geneli").collect()}
+    assert got == {("/x", "Ankara", 2), ("/y", "first", 1)}
+
+
+def test_parquet_by_years(spark, tmp_path):
+    from pricelattice.sources import readers
+
+    for y in (2016, 2017):
+        spark.range(3).coalesce(1).write.parquet(str(tmp_path / f"w{y}"))
+        next((tmp_path / f"w{y}").glob("part-*")).rename(tmp_path / f"weather_{y}.parquet")
+    (tmp_path / "weather_2018.parquet").write_bytes(b"broken")
+    got = readers.read_parquet_years(spark, str(tmp_path / "weather_*.parquet"), spark.range(1).schema)
+    assert Counter(r.file_year for r in got.collect()) == {2016: 3, 2017: 3}

@@ -2,7 +2,7 @@
 
 import pytest
 
-from pricelattice.plans import catalog, extended, market  # noqa: F401  (they add their queries)
+from pricelattice.plans import catalog, coverage, extended, market  # noqa: F401  (they add their queries)
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
