@@ -15,8 +15,11 @@ BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests, one machine) a temporary folder is made and set."""
+    """spark.checkpoint.dir of the session. Only where it is unset and the master is this machine a temporary folder is made and set; on a
+    cluster that is an error, since no folder of one machine would be shared."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="pricelattice-shared-")
         spark.sparkContext.setCheckpointDir(d)
