@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelattice.operators.cells import sites_within
+from pricelattice.operators.cells import nearest_within
 
 
 def _seconds(df: DataFrame, c: str) -> Column:
@@ -107,18 +107,15 @@ def interval_join(points: DataFrame, spans: DataFrame, at: str, lo: str, hi: str
 
 def nearest_site(points: DataFrame, sites: DataFrame, radius_km: float, point_id: str, site_id: str) -> DataFrame:
     """Nearest site of each point within a radius, at every latitude and across the date line; of equally near sites the least id."""
-    hits = sites_within(points, sites, radius_km, site_id)
-    return hits.groupBy(point_id).agg(F.min(F.struct("distance_km", site_id)).alias("_m")).select(point_id, F.col(f"_m.{site_id}").alias(site_id), F.col("_m.distance_km").alias("distance_km"))
+    hits = nearest_within(points, sites, radius_km, site_id)
+    all_ = points.select(point_id, "lat", "lon").join(hits, ["lat", "lon"])
+    return all_.groupBy(point_id).agg(F.min(F.struct("distance_km", site_id)).alias("_m")).select(point_id, F.col(f"_m.{site_id}").alias(site_id), F.col("_m.distance_km").alias("distance_km"))
 
 
 def nearest_with_fallback(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, radii: tuple[float, ...] = (10.0, 25.0, 50.0)) -> DataFrame:
-    """nearest_site() with growing radii; a wider radius sees only the points that are still without a site."""
-    done, left = None, points
-    for r in radii:
-        hit = nearest_site(left, sites, r, point_id, site_id).withColumn("radius_km", F.lit(r))
-        done = hit if done is None else done.unionByName(hit)
-        left = left.join(hit.select(point_id), point_id, "left_anti")
-    return done
+    """nearest_site() with growing radii: the nearest site of the first radius that reaches one is the nearest of all."""
+    first = reduce(lambda rest, r: F.when(F.col("distance_km") <= r, F.lit(r)).otherwise(rest), reversed(radii), F.lit(None).cast("double"))
+    return nearest_site(points, sites, max(radii), point_id, site_id).withColumn("radius_km", first)
 
 
 def lookup(df: DataFrame, dim: DataFrame, keys: list[str], bound_rows: int = 100_000) -> DataFrame:

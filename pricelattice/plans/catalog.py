@@ -220,10 +220,8 @@ _HAV = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(s.lat - p.lat) / 2)
 h as (select c_custkey, s_suppkey, {_HAV} as km from p, s)
 select c_custkey, s_suppkey, round(km, 6) as distance_km from h where km <= 50 qualify row_number() over (partition by c_custkey order by km, s_suppkey) = 1""")
 def nearest_market(spark, d):
-    p = table(spark, d, "customer").selectExpr("c_custkey", *_PLACE.format(k="c_custkey").split(", 26")[:1], "26" + _PLACE.format(k="c_custkey").split(", 26")[1])
-    s = table(spark, d, "supplier").selectExpr("s_suppkey", *_PLACE.format(k="s_suppkey").split(", 26")[:1], "26" + _PLACE.format(k="s_suppkey").split(", 26")[1])
-    c = lambda f: f.withColumns({k: F.col(k).cast("double") for k in ("lat", "lon")})
-    return joins.nearest_site(c(p), c(s), 50.0, "c_custkey", "s_suppkey").withColumn("distance_km", _r(F.col("distance_km")))
+    at = lambda t, k: table(spark, d, t).selectExpr(k, *_PLACE.format(k=k).replace("100.0", "100D").split(", "))  # noqa: E731  (in doubles, as SQL divides)
+    return joins.nearest_site(at("customer", "c_custkey"), at("supplier", "s_suppkey"), 50.0, "c_custkey", "s_suppkey").withColumn("distance_km", _r(F.col("distance_km")))
 
 
 @query("""with t as (select p_partkey, p_brand, list_distinct(string_split(lower(p_name), ' ')) as w from part)
