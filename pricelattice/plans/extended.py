@@ -106,7 +106,7 @@ _HAV = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(s.lat - p.lat) / 2)
 
 
 def _on_sphere(df, k):
-    lat, lon = (x.format(k=k) for x in _SPHERE)
+    lat, lon = (x.format(k=k).replace("10.0", "10D") for x in _SPHERE)  # in doubles, as SQL divides
     return df.select(k, F.expr(f"double({lat})").alias("lat"), F.expr(f"double({lon})").alias("lon"))
 
 
@@ -133,7 +133,7 @@ def nearest_growing_radius(spark, d):
 select s_suppkey, count(*) as customers from h where km <= 700 group by 1""")
 def customers_within(spark, d):
     p, s = _on_sphere(table(spark, d, "customer"), "c_custkey"), _on_sphere(table(spark, d, "supplier"), "s_suppkey")
-    return cells.sites_within(p, s, 700.0, "s_suppkey").groupBy("s_suppkey").agg(F.count("*").alias("customers"))
+    return cells.counts_within(p, s, 700.0, "s_suppkey", "customers")
 
 
 # ---- state ----------------------------------------------------------------------------------------------------------
