@@ -151,16 +151,16 @@ def records(spark: SparkSession, name: str, start: str, end: str, fetch: str, re
     return spark.read.format("energy_api").options(**o).load()
 
 
-def drift(record: Column, ddl: str) -> Column:
-    """What is wrong with a record, or null: no object, unknown fields, values of another type, no time."""
+def drift(record: Column, ddl: str, value: Column, texts: Column, keys: Column) -> Column:
+    """What is wrong with a record, or null: no object, unknown fields, values of another type, no time. `value`, `texts` and `keys` are
+    the record read as its fields, as texts by name and as its names, once each."""
     names = _names(ddl)
-    v = F.from_json(record, ddl)
-    keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
     unknown = F.array_except(keys, F.array(*map(F.lit, names)))
-    wrong = F.filter(F.array(*[F.when(F.get_json_object(record, f"$.{n}").isNotNull() & v[n].isNull(), F.lit(n)) for n in names]), lambda x: x.isNotNull())
-    timed = F.coalesce(*[v[n] for n in TIMES if n in names]).isNotNull()
+    stated = lambda n: F.when(texts.isNotNull(), texts[n]).otherwise(F.get_json_object(record, f"$.{n}")).isNotNull()
+    wrong = F.array_compact(F.array(*[F.when(stated(n) & value[n].isNull(), F.lit(n)) for n in names]))
+    timed = F.coalesce(*[value[n] for n in TIMES if n in names]).isNotNull()
     return (
-        F.when(F.json_object_keys(record).isNull(), "no object")
+        F.when(keys.isNull(), "no object")
         .when(F.size(unknown) > 0, F.concat(F.lit("unknown: "), F.array_join(F.array_sort(unknown), ",")))
         .when(F.size(wrong) > 0, F.concat(F.lit("type: "), F.array_join(wrong, ",")))
         .when(~timed, "no time")
@@ -170,12 +170,16 @@ def drift(record: Column, ddl: str) -> Column:
 def typed(raw: DataFrame, name: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """({call: typed rows}, quarantine with call, record and drift) of a table of call and record. Calls that the dataset lacks are drift."""
     spec = DATASETS[name]
+    read = [F.when(F.col("call") == call, F.from_json("record", ddl)).alias(f"_v{i}") for i, (call, ddl) in enumerate(spec.calls.items())]
+    read += [F.from_json("record", "map<string,string>").alias("_texts"), F.json_object_keys("record").alias("_keys")]
+    # inline() keeps what is read apart from the filters that ask it: a plain column would be read again for each field that they name.
+    judged = raw.select("call", "record", F.inline(F.array(F.struct(*read))))
     fault = F.lit("unknown call")
-    for call, ddl in spec.calls.items():
-        fault = F.when(F.col("call") == call, drift(F.col("record"), ddl)).otherwise(fault)
-    judged = raw.withColumn("drift", fault)
+    for i, (call, ddl) in enumerate(spec.calls.items()):
+        fault = F.when(F.col("call") == call, drift(F.col("record"), ddl, F.col(f"_v{i}"), F.col("_texts"), F.col("_keys"))).otherwise(fault)
+    judged = judged.withColumn("drift", fault)
     good = judged.filter("drift is null")
-    rows = {call: good.filter(F.col("call") == call).select(F.from_json("record", ddl).alias("v")).select("v.*") for call, ddl in spec.calls.items()}
+    rows = {call: good.filter(F.col("call") == call).select(f"_v{i}.*") for i, call in enumerate(spec.calls)}
     return rows, judged.filter("drift is not null").select("call", "record", "drift")
 
 
