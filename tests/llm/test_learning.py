@@ -75,3 +75,18 @@ def test_scores_of_odd_rows(spark):
     assert len(empty) == 1 and len(again) == 1 and again.pop() > 0.9 and empty.pop() < 0.9
     none = toxicity.train(d, labels.filter("toxic = 1"), F.lit(True))
     assert none is None and {r.s for r in toxicity.score(d, none, ["doc_id"], "s").collect()} == {0.0}
+
+
+def test_every_labelled_row_teaches(spark, monkeypatch):
+    """More rows of a class than a sample held: all of them lie in packs, once, and words of any pack are counted over all."""
+    rows = [(i, f"{'shout fool' if i % 2 else 'calm walk'} n{i // 2000} w{i}", "en") for i in range(6000)]
+    d = spark.createDataFrame(rows + rows[:50], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6000)], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "PACK_ROWS", 1500)
+    got = toxicity.packs(d, labels, F.lit(True)).select("pack", "n", "n_toxic").collect()
+    assert len(got) == 4 and sum(r.n for r in got) == 6000 and sum(r.n_toxic for r in got) == 3000
+    monkeypatch.setattr(toxicity, "STEPS", 600)
+    nets = [toxicity.train(x, labels, F.lit(True)) for x in (d, d.repartition(3))]
+    assert nets[0].empty == 0.5 and (nets[0].table == nets[1].table).all()
+    s = {r.doc_id % 2: r.s for r in toxicity.score(d.filter("doc_id < 2"), nets[0], ["doc_id"], "s").collect()}
+    assert s[1] > 0.9 and s[0] < 0.1
