@@ -37,11 +37,12 @@ def words(text: Column, stop: tuple[str, ...] = ()) -> Column:
 
 def bags(left: DataFrame, right: DataFrame | None, text: str, stop: tuple[str, ...] = ()) -> DataFrame:
     """bag (its words in order, joined by blanks), left_rows, right_rows: the number of rows of each side with that bag."""
-    bag = lambda df: F.array_join(F.array_sort(words(df[text], stop)), " ").alias("bag")
-    rows = left.select(bag(left), F.lit(1).alias("l"), F.lit(0).alias("r"))
+    rows = left.select(F.col(text).alias("text"), F.lit(1).alias("l"), F.lit(0).alias("r"))
     if right is not None:
-        rows = rows.unionByName(right.select(bag(right), F.lit(0).alias("l"), F.lit(1).alias("r")))
-    return rows.groupBy("bag").agg(F.sum("l").alias("left_rows"), F.sum("r").alias("right_rows"))
+        rows = rows.unionByName(right.select(F.col(text).alias("text"), F.lit(0).alias("l"), F.lit(1).alias("r")))
+    texts = rows.groupBy("text").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))  # copies are counted before any word is cut
+    bag = F.array_join(F.array_sort(words(texts["text"], stop)), " ").alias("bag")
+    return texts.select(bag, "l", "r").groupBy("bag").agg(F.sum("l").alias("left_rows"), F.sum("r").alias("right_rows"))
 
 
 def vectors(b: DataFrame) -> DataFrame:
