@@ -141,11 +141,12 @@ def first_rule_join(key: Column, rules: list[tuple[int, str, str]], both_ways: b
     return F.when(F.length(key) > 0, F.try_element_at(hit, F.lit(1))["t"])
 
 
-def block_similarity(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, threshold: float, within: tuple[str, ...] = (), sep: str = r"\s+") -> DataFrame:
+def block_similarity(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, threshold: float, within: tuple[str, ...] = (), sep: str = r"\s+", digits: int | None = None) -> DataFrame:
     """Every pair of names whose token sets have a Jaccard similarity of at least `threshold` (above 0), among rows equal in `within`.
 
     Equal token sets are compared once. A set is blocked by its rarest tokens only: of n tokens, n - ceil(threshold * n) + 1, since two
-    sets that share none of those cannot reach the threshold. Null names have no pairs.
+    sets that share none of those cannot reach the threshold. Null names have no pairs. Equal sets' ids meet as lists, not row by row;
+    where `digits` is given, the similarity is rounded once for all of them.
     """
     if threshold <= 0:
         raise ValueError("threshold must be above 0")
@@ -161,4 +162,21 @@ def block_similarity(left: DataFrame, right: DataFrame, left_id: str, right_id:
     pairs = blocks.withColumnRenamed("_w", "_wa").join(blocks.withColumnRenamed("_w", "_wb"), [*keys, "_t"]).select(*keys, "_wa", "_wb").distinct()
     sim = F.size(F.array_intersect("_wa", "_wb")) / F.size(F.array_union("_wa", "_wb"))
     pairs = pairs.withColumn("similarity", sim).filter(F.col("similarity") >= threshold)
-    return l.join(pairs, [*keys, "_wa"]).join(r, [*keys, "_wb"]).select(left_id, right_id, "similarity")
+    if digits is not None:
+        pairs = pairs.withColumn("similarity", F.round("similarity", digits))
+    lists = _id_lists(l, [*keys, "_wa"], left_id).join(pairs, [*keys, "_wa"]).join(_id_lists(r, [*keys, "_wb"], right_id), [*keys, "_wb"])
+    lists = lists.select(f"_of_{left_id}", f"_of_{right_id}", "similarity").repartition(4 * left.sparkSession.sparkContext.defaultParallelism)
+    out = lists.select(F.explode(f"_of_{left_id}").alias("_l"), f"_of_{right_id}", "similarity").select("_l", F.explode(f"_of_{right_id}").alias("_r"), "similarity")
+    return out.select(F.col("_l.id").alias(left_id), F.col("_r.id").alias(right_id), "similarity")
+
+
+#: Ids of one token set that stand in one list.
+ID_LIST = 2048
+
+
+def _id_lists(rows: DataFrame, by: list[str], row_id: str) -> DataFrame:
+    """The rows' ids by `by`, in lists of some ID_LIST: lists meet in the join, and ids are paired only where the result is written."""
+    parts = rows.groupBy(*by).agg(F.ceil(F.count("*") / ID_LIST).alias("_many"))
+    part = F.pmod(F.xxhash64(row_id), F.col("_many")).alias("_part")
+    one = F.struct(F.col(row_id).alias("id"))
+    return rows.join(parts, by).select(*by, part, one.alias("_id")).groupBy(*by, "_part").agg(F.collect_list("_id").alias(f"_of_{row_id}")).drop("_part")

@@ -233,8 +233,8 @@ def name_similarity_all(spark, d):
 
 def _similar_names(part):
     a = part.select(F.col("p_partkey").alias("left_id"), "p_brand", "p_name")
-    pairs = joins.block_similarity(a, a.withColumnRenamed("left_id", "right_id"), "left_id", "right_id", "p_name", 0.5, ("p_brand",), " ")
-    return pairs.filter("left_id < right_id").withColumn("similarity", _r(F.col("similarity")))
+    pairs = joins.block_similarity(a, a.withColumnRenamed("left_id", "right_id"), "left_id", "right_id", "p_name", 0.5, ("p_brand",), " ", 6)
+    return pairs.filter("left_id < right_id")
 
 
 @query("""select o_orderpriority, l_returnflag, r_name, count(*) as n, round(sum(l_extendedprice), 2) as total from lineitem join orders on l_orderkey = o_orderkey

@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from pricelattice.operators import joins, windows
+from pricelattice.operators import joins, similarity, windows
 from pricelattice.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +33,24 @@ def test_block_similarity_against_all_pairs(spark):
         assert len(got) == len(want) and {(r.l, r.r) for r in got} == want
 
 
+def test_copies_of_names_meet_as_lists(spark, monkeypatch):
+    """Ids are paired after the last exchange, from lists that split where a set has many rows; null ids stay."""
+    d = spark.createDataFrame([(i if i else None, "a b" if i % 2 else "a b c") for i in range(40)], "l int, n string")
+    monkeypatch.setattr(joins, "ID_LIST", 3)
+    got = joins.block_similarity(d, d.withColumnRenamed("l", "r"), "l", "r", "n", 0.5, digits=2)
+    assert got.count() == 1600 and {(r.l, r.r) for r in got.collect()} == {(i or None, j or None) for i in range(40) for j in range(40)}
+    assert {r.similarity for r in got.collect()} == {1.0, 0.67}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(_of_r") < plan.index("explode(_of_l") < plan.index("Join")
+
+
+def test_equal_titles_are_counted_before_words_are_cut(spark):
+    d = spark.createDataFrame([("A b",)] * 5 + [("b  a",), (None,)], "t string")
+    b = similarity.bags(d, None, "t")
+    assert {(r.bag, r.left_rows) for r in b.collect() if r.bag} == {("a b", 6)}
+    assert "Aggregate [text" in b._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_clamped_balance_of_every_user(spark):
     day = defaultdict(float)
     for r in read("events"):
