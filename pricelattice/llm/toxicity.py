@@ -24,11 +24,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelattice.llm.kernel import Spans, mix, slices, text_buffers
-from pricelattice.llm.store import BATCH as ARROW_ROWS
+from pricelattice.llm.kernel import NO_DOCS, Spans, mix, slices, text_buffers
 from pricelattice.llm.store import give_back, written
 
 BITS, DIM, FILTERS, WIDTHS = 18, 8, 16, (1, 2, 3)
@@ -90,34 +90,37 @@ def sigmoid(z):
 
 
 class Pack:
-    """Some labelled rows: words of all (a, b with offsets), toxic, held (held back) and language."""
+    """Some labelled rows: the different words of all (a, b), each text's words as numbers of these (word, with offsets), toxic, held (held
+    back) and language."""
 
-    def __init__(self, number: int, a: np.ndarray, b: np.ndarray, off: np.ndarray, y: np.ndarray, held: np.ndarray, langs: list):
-        self.number, self.a, self.b, self.off, self.y, self.held, self.langs = number, a, b, off, y, held, langs
+    def __init__(self, number: int, a: np.ndarray, b: np.ndarray, word: np.ndarray, off: np.ndarray, y: np.ndarray, held: np.ndarray, langs: list):
+        self.number, self.a, self.b, self.word, self.off, self.y, self.held, self.langs = number, a, b, word, off, y, held, langs
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """(word, number of training texts with it)."""
-        keys = self.a.astype(np.int64) << BITS | self.b
-        parts = [np.unique(keys[self.off[k] : self.off[k + 1]]) for k in np.flatnonzero(~self.held)]
-        return np.unique(np.concatenate([*parts, keys[:0]]), return_counts=True)
+        docs = np.zeros(len(self.a), np.int64)
+        for k in np.flatnonzero(~self.held):
+            docs[np.unique(self.word[self.off[k] : self.off[k + 1]])] += 1
+        some = np.flatnonzero(docs)
+        return _keys(self.a[some], self.b[some]), docs[some]
 
     def training(self, seen: np.ndarray) -> tuple[list, np.ndarray]:
         """(words of each training text without the rare ones, toxic)."""
-        keep = often(seen, self.a.astype(np.int64) << BITS | self.b)
+        keep = often(seen, _keys(self.a, self.b))
         rows = []
         for k in np.flatnonzero(~self.held):
-            own = slice(self.off[k], self.off[k + 1])
-            rows.append((self.a[own][keep[own]], self.b[own][keep[own]]))
+            own = self.word[self.off[k] : self.off[k + 1]]
+            own = own[keep[own]]
+            rows.append((self.a[own], self.b[own]))
         return rows, self.y[~self.held]
 
     def moved(self, flat: np.ndarray, squares: np.ndarray, seen: np.ndarray, heavy: float, k: int, steps: int, seed: int):
-        """(weight rows that round k moves here, their changes, those of the squares), in fixed point."""
+        """Weights and squares after round k here, and which rows of them moved."""
         w, q = flat.copy(), squares.copy()
         rows, y = self.training(seen)
         one = max(steps // ROUNDS, -(-len(rows) // BATCH))
         _learn(w, q, rows, y, heavy, one, k, np.random.Generator(np.random.PCG64([seed, k, self.number])))
-        hit = np.flatnonzero((q != squares).any(1))
-        return hit, *(np.rint((x[hit].astype(np.float64) - y[hit]) * FIXED).astype(np.int64) for x, y in ((w, flat), (q, squares)))
+        return np.flatnonzero((q != squares).any(1)), w, q
 
     def judged(self, net: Net) -> dict:
         """Number of held-back rows by (language, toxic, rounded logit)."""
@@ -125,8 +128,8 @@ class Pack:
         some = np.flatnonzero(self.held)
         z = np.full(len(some), net.out_bias, np.float64)
         for at, k in enumerate(some):
-            own = slice(self.off[k], self.off[k + 1])
-            if len(self.a[own]):
+            own = self.word[self.off[k] : self.off[k + 1]]
+            if len(own):
                 z[at] = net.logit(self.a[own], self.b[own])
         z = np.rint(np.clip(z, -40, 40) * FINE).astype(int)
         for at, k in enumerate(some):
@@ -135,6 +138,41 @@ class Pack:
         return out
 
 
+def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.astype(np.int64) << BITS | b
+
+
+def told(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b of the different words of some texts, frequent ones first; number of each word among these; word offsets by text), in slices."""
+    parts, sizes = [], [np.zeros(1, np.int64)]
+    for lo, hi in slices(off):
+        a, b, o = word_rows(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        own, of = np.unique(_keys(a, b), return_inverse=True)
+        parts.append((own, of.astype(np.int32)))
+        sizes.append(np.diff(o))
+    every = np.unique(np.concatenate([own for own, _ in parts] + [NO_DOCS]))
+    many, at = np.zeros(len(every), np.int64), []
+    for own, of in parts:
+        at.append(np.searchsorted(every, own))
+        many[at[-1]] += np.bincount(of, minlength=len(own))
+    order = np.argsort(-many, kind="stable")
+    rank = np.empty(len(every), np.int32)
+    rank[order] = np.arange(len(every), dtype=np.int32)
+    word = np.empty(int(many.sum()), np.int32)
+    x = 0
+    for (_, of), to in zip(parts, at, strict=True):
+        word[x : x + len(of)] = rank[to][of]
+        x += len(of)
+    every = every[order]
+    return (every >> BITS).astype(np.int32), (every & ((1 << BITS) - 1)).astype(np.int32), word, np.cumsum(np.concatenate(sizes))
+
+
+def _fixed(into: np.ndarray, hit: np.ndarray, new: np.ndarray, old: np.ndarray) -> None:
+    """Adds the change of the rows hit in fixed point, a column at a time."""
+    for i in range(DIM):
+        into[hit, i] += np.rint((new[hit, i].astype(np.float64) - old[hit, i]) * FIXED).astype(np.int64)
+
+
 def _bits(words: np.ndarray) -> np.ndarray:
     return (mix(words.astype(np.uint64)) >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
 
@@ -168,12 +206,11 @@ def fit(texts: list[str] | pa.ChunkedArray, y: np.ndarray, langs: list, seed: in
         return None
     rng = np.random.Generator(np.random.PCG64(seed))
     data, off = text_buffers(texts if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.string()))
-    rows = [word_rows(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in slices(off)]
+    a, b, word, at = told(data, off)
     del data, off
-    size = np.concatenate([np.diff(o) for _, _, o in rows])
     held = np.zeros(len(y), bool)
     held[rng.permutation(len(y))[: len(y) // 5]] = True
-    pack = Pack(0, *(np.concatenate([r[c] for r in rows]).astype(np.int32) for c in (0, 1)), np.append(0, np.cumsum(size)), np.asarray(y), held, langs)
+    pack = Pack(0, a, b, word, at, np.asarray(y), held, langs)
     word, docs = pack.words()
     seen = np.zeros(1 << (SEEN_BITS - 6), np.int64)
     at = _bits(word[docs >= LEAST_DOCS])
@@ -181,7 +218,10 @@ def fit(texts: list[str] | pa.ChunkedArray, y: np.ndarray, langs: list, seed: in
 
     def changes(flat, squares, heavy, k):
         hit, w, q = pack.moved(flat, squares, seen, heavy, k, steps, seed)
-        return hit, np.ones(len(hit), np.int64), w, q
+        sums = np.zeros(flat.shape, np.int64), np.zeros(flat.shape, np.int64)
+        _fixed(sums[0], hit, w, flat)
+        _fixed(sums[1], hit, q, squares)
+        return hit, np.ones(len(hit), np.int64), *(x[hit] for x in sums)
 
     train = pack.y[~held]
     return _rounds(changes, lambda flat: pack.judged(_net(flat)), ROUNDS if steps else 0, float(np.mean(y)), int(train.sum()), len(train), seed)
@@ -308,32 +348,26 @@ def _best_cut(s: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
 
 def packs(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
     """A written row a pack of the labelled rows for which `usable` holds."""
-    y = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("__pl_toxic"))
-    rows = docs.filter(usable).select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("__pl_h"))
-    n, size = docs.filter(usable).select("doc_id", F.octet_length("text").alias("size")).join(y, "doc_id").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    y = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("y"))
+    own = docs.filter(usable & F.col("doc_id").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text"))
+    # Labels go to the hashes of rows, so texts are shuffled once.
+    named = written(own.select("doc_id", "h", F.octet_length("text").alias("size")).join(y, "doc_id").select("h", "y", "size"), "taught")
+    n, size = named.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     many = max(1, round(n / PACK_ROWS), -(-size // (6 * PACK_WORDS)))
-
-    def cut(batches):
-        seen = set()
-        for b in batches:
-            fresh = [k for k, x in enumerate(zip(b.column("h").to_pylist(), b.column("y").to_pylist(), b.column("lang").to_pylist(), strict=True)) if not (x in seen or seen.add(x))]
-            b = b.take(pa.array(fresh, pa.int64()))
-            data, off = text_buffers(b.column("text"))
-            for lo, hi in slices(off):
-                x, z, o = word_rows(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                words = [pa.array([v[s:e].astype(np.int32).tobytes() for s, e in zip(o[:-1], o[1:], strict=True)], pa.binary()) for v in (x, z)]
-                yield pa.RecordBatch.from_arrays([b.column(c)[lo:hi] for c in ("pack", "h", "y", "lang")] + words, names=["pack", "h", "y", "lang", "a", "b"])
-
-    def together(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("h", "ascending"), ("lang", "ascending")])
-        h = t.column("h").to_numpy()
-        t = t.take(pa.array(np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])))
-        u = mix(t.column("h").to_numpy().view(np.uint64))
-        held = (u >> np.uint64(32)) % np.uint64(5) == 0
-        toxic = t.column("y").to_numpy().astype(np.int64)
-        words = [t.column(c).to_pylist() for c in "ab"]
-        off = np.append(0, np.cumsum([len(x) // 4 for x in words[0]]))
-        one = [t.column("pack")[0].as_py(), b"".join(words[0]), b"".join(words[1]), off.astype(np.int64).tobytes(), toxic.tobytes(), held.tobytes(), t.column("lang").to_pylist()]
+    pack = F.pmod(F.xxhash64("h", F.lit(5)), F.lit(many)).cast("int").alias("pack")
+
+    def together(t: pa.Table, labelled: pa.Table) -> pa.Table:
+        h, mine = t.column("h").to_numpy(), labelled.column("h").to_numpy()
+        order = pc.sort_indices(t.select(["h", "lang"]), [("h", "ascending"), ("lang", "ascending")]).to_numpy().astype(np.int64)
+        order = order[np.append(True, h[order][1:] != h[order][:-1])[: len(order)]]
+        order = order[np.isin(h[order], mine)]
+        if not len(order):
+            return _PACK.empty_table()
+        h, by = h[order], np.argsort(mine)
+        toxic = labelled.column("y").to_numpy()[by][np.searchsorted(mine[by], h)].astype(np.int64)
+        a, b, word, off = told(*text_buffers(t.column("text").take(pa.array(order))))
+        held = (mix(h.view(np.uint64)) >> np.uint64(32)) % np.uint64(5) == 0
+        one = [labelled.column("pack")[0].as_py(), *(x.tobytes() for x in (a, b, word, off, toxic, held)), t.column("lang").take(pa.array(order)).to_pylist()]
         one += [len(toxic), int(toxic.sum()), int((~held).sum()), int(toxic[~held].sum())]
         return pa.Table.from_pydict(dict(zip(_PACK.names, ([v] for v in one), strict=True)), schema=_PACK)
 
@@ -342,15 +376,14 @@ def packs(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
 
     def known(batches):
         for b in batches:
-            at = b.column("__pl_bit").to_numpy()
-            yield b.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1))
+            at = b.column("bit").to_numpy()
+            yield b.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)).drop_columns(["bit"])
 
-    rows = rows.withColumn("__pl_bit", _bit("doc_id"))
-    rows = rows.mapInArrow(known, rows.schema)
-    j = rows.join(y, "doc_id").select(F.pmod(F.xxhash64("__pl_h", F.lit(5)), F.lit(many)).cast("int").alias("pack"), F.col("__pl_h").alias("h"), F.col("__pl_toxic").alias("y"), "lang", "text")
-    parts = j.mapInArrow(cut, "pack int, h bigint, y int, lang string, a binary, b binary")
-    schema = "pack int, a binary, b binary, off binary, y binary, held binary, lang array<string>, n bigint, n_toxic bigint, n_train bigint, n_train_toxic bigint"
-    return written(parts.groupBy("pack").applyInArrow(together, schema), "packs")
+    rows = own.select("h", "lang", "text", _bit("doc_id").alias("bit"))
+    rows = rows.mapInArrow(known, rows.drop("bit").schema).withColumn("pack", pack)
+    marks = named.groupBy("h").agg(F.max("y").alias("y")).withColumn("pack", pack)
+    schema = "pack int, a binary, b binary, word binary, off binary, y binary, held binary, lang array<string>, n bigint, n_toxic bigint, n_train bigint, n_train_toxic bigint"
+    return written(rows.groupBy("pack").cogroup(marks.groupBy("pack")).applyInArrow(together, schema), "packs")
 
 
 def _bit(name: str) -> Column:
@@ -360,13 +393,13 @@ def _bit(name: str) -> Column:
 def _bitmap(bits: DataFrame, name: str) -> np.ndarray:
     """2 ** SEEN_BITS bits, of which those in column `bit` are set. Texts of unlabelled ids are mostly left out by it before they are shuffled;
     the join decides."""
-    got = _gathered(bits.groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")), name)
+    got = written(bits.groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")), name).toArrow()
     out = np.zeros(1 << (SEEN_BITS - 6), np.int64)
     out[got.column("slot").to_numpy()] = got.column("bits").to_numpy()
     return out
 
 
-_PACK = pa.schema([("pack", pa.int32()), *[(c, pa.binary()) for c in ("a", "b", "off", "y", "held")], ("lang", pa.list_(pa.string())), *[(c, pa.int64()) for c in ("n", "n_toxic", "n_train", "n_train_toxic")]])
+_PACK = pa.schema([("pack", pa.int32()), *[(c, pa.binary()) for c in ("a", "b", "word", "off", "y", "held")], ("lang", pa.list_(pa.string())), *[(c, pa.int64()) for c in ("n", "n_toxic", "n_train", "n_train_toxic")]])
 
 
 def _each(table: DataFrame, f, schema: pa.Schema) -> DataFrame:
@@ -375,28 +408,21 @@ def _each(table: DataFrame, f, schema: pa.Schema) -> DataFrame:
     def one_by_one(batches):
         for b in batches:
             for r in range(b.num_rows):
-                number, a, z, off, y, held = (b.column(c)[r].as_py() for c in ("pack", "a", "b", "off", "y", "held"))
-                words = np.frombuffer(a, np.int32), np.frombuffer(z, np.int32)
-                yield Pack(number, *words, np.frombuffer(off, np.int64), np.frombuffer(y, np.int64), np.frombuffer(held, bool), b.column("lang")[r].as_py())
+                kinds = {"a": np.int32, "b": np.int32, "word": np.int32, "off": np.int64, "y": np.int64, "held": bool}
+                parts = (np.frombuffer(b.column(c)[r].as_buffer(), kind) for c, kind in kinds.items())
+                yield Pack(b.column("pack")[r].as_py(), *parts, b.column("lang")[r].as_py())
 
     def run(batches):
         for columns in f(one_by_one(batches)):
             yield from pa.Table.from_arrays(columns, schema=schema).to_batches(max_chunksize=1 << 16)
 
     kinds = {pa.int64(): "bigint", pa.string(): "string"}
-    return table.select(*_PACK.names[:7]).mapInArrow(run, ", ".join(f"{x.name} {kinds[x.type]}" for x in schema))
+    return table.select(*_PACK.names[:8]).mapInArrow(run, ", ".join(f"{x.name} {kinds[x.type]}" for x in schema))
 
 
 def _gathered(df: DataFrame, name: str) -> pa.Table:
     """df by way of a written table, one pack in memory of a task at a time."""
-    conf = df.sparkSession.conf
-    before = conf.get(ARROW_ROWS, None)
-    conf.set(ARROW_ROWS, "1")
-    try:
-        out = written(df, name)
-    finally:
-        conf.unset(ARROW_ROWS) if before is None else conf.set(ARROW_ROWS, before)
-    return out.toArrow()
+    return written(df, name, 1).toArrow()
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, seed: int = 3) -> Net | None:
@@ -410,10 +436,14 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, seed: int = 3) ->
     def words(own):
         for p in own:
             word, many = p.words()
-            yield [pa.array(word), pa.array(_bits(word)), pa.array(many)]
+            yield [pa.array(word), pa.array(many)]
+
+    def bits(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_bits(b.column("word").to_numpy()))], names=["bit"])
 
-    frequent = _each(table, words, longs("word", "bit", "n")).groupBy("word", "bit").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCS)
-    seen = _bitmap(frequent.select("bit"), "frequent")
+    counted = written(_each(table, words, longs("word", "n")).groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCS).select("word"), "counted", 1)
+    seen = _bitmap(counted.mapInArrow(bits, "bit bigint"), "frequent")
     shared_seen = sc.broadcast(seen)
     ws, qs = [f"w{i}" for i in range(DIM)], [f"q{i}" for i in range(DIM)]
 
@@ -426,8 +456,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, seed: int = 3) ->
             for p in own:
                 hit, w, q = p.moved(*shared.value, shared_seen.value, heavy, k, STEPS, seed)
                 n[hit] += 1
-                ws_[hit] += w
-                qs_[hit] += q
+                _fixed(ws_, hit, w, shared.value[0])
+                _fixed(qs_, hit, q, shared.value[1])
+                del p, w, q
             hit = np.flatnonzero(n)
             yield [pa.array(hit), pa.array(n[hit]), *(pa.array(x[hit, i]) for x in (ws_, qs_) for i in range(DIM))]
 

@@ -90,3 +90,16 @@ def test_every_labelled_row_teaches(spark, monkeypatch):
     assert nets[0].empty == 0.5 and (nets[0].table == nets[1].table).all()
     s = {r.doc_id % 2: r.s for r in toxicity.score(d.filter("doc_id < 2"), nets[0], ["doc_id"], "s").collect()}
     assert s[1] > 0.9 and s[0] < 0.1
+
+
+def test_a_pack_names_each_word_once(spark):
+    """A pack's rows grow by a number a word, so an executor's memory holds packs of long texts; the words are those of the texts, in order."""
+    texts = [" ".join(f"w{(i * j) % 50}" for j in range(4000)) for i in range(1, 4)] + ["", None]
+    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id bigint, toxic int")
+    (p,) = toxicity.packs(d, labels, F.lit(True)).collect()
+    assert p.n == 5 and len(p.a) + len(p.b) <= 8 * 50
+    a, b, word, off = (np.frombuffer(p[c], np.int64 if c == "off" else np.int32) for c in ("a", "b", "word", "off"))
+    got = sorted(tuple(zip(a[word[s:e]], b[word[s:e]], strict=True)) for s, e in zip(off[:-1], off[1:], strict=True))
+    plain = [toxicity.word_rows(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())])) for t in texts]
+    assert got == sorted(tuple(zip(x, y, strict=True)) for x, y, _ in plain)
