@@ -221,24 +221,26 @@ def fit(texts: list[str] | pa.ChunkedArray, y: np.ndarray, langs: list, seed: in
         sums = np.zeros(flat.shape, np.int64), np.zeros(flat.shape, np.int64)
         _fixed(sums[0], hit, w, flat)
         _fixed(sums[1], hit, q, squares)
-        return hit, np.ones(len(hit), np.int64), *(x[hit] for x in sums)
+        return hit, *([(x[hit, i] / float(FIXED)).astype(np.float32) for i in range(DIM)] for x in sums)
 
     train = pack.y[~held]
     return _rounds(changes, lambda flat: pack.judged(_net(flat)), ROUNDS if steps else 0, float(np.mean(y)), int(train.sum()), len(train), seed)
 
 
 def _rounds(changes, judge, rounds: int, empty: float, toxic: int, rows: int, seed: int) -> Net:
-    """changes(flat, squares, heavy, k): rows moved in round k, the number of packs that moved each, sums of both changes. judge(flat): counts
-    of held-back rows. toxic, rows: numbers of training rows."""
+    """changes(flat, squares, heavy, k): rows moved in round k and the mean changes of both, column by column. judge(flat): counts of held-back
+    rows. toxic, rows: numbers of training rows."""
     flat = _start(np.random.Generator(np.random.PCG64(seed)))
     squares = np.full(flat.shape, 1e-2, np.float32)
     heavy = float(np.sqrt((rows - toxic) / max(1, toxic)))
     best = (np.inf, flat, {})
     for k in range(rounds):
-        hit, n, w, q = changes(flat, squares, heavy, k)
-        flat, squares = flat.copy(), squares.copy()
+        hit, w, q = changes(flat, squares, heavy, k)
+        flat = flat.copy()
         for into, x in ((flat, w), (squares, q)):
-            into[hit] += (x / (n[:, None] * float(FIXED))).astype(np.float32)
+            for i in range(DIM):
+                into[hit, i] += x[i]
+        del hit, w, q
         counts = judge(flat)
         loss = _loss(counts, heavy)
         if loss < best[0] or not counts:
@@ -383,7 +385,9 @@ def packs(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
     rows = rows.mapInArrow(known, rows.drop("bit").schema).withColumn("pack", pack)
     marks = named.groupBy("h").agg(F.max("y").alias("y")).withColumn("pack", pack)
     schema = "pack int, a binary, b binary, word binary, off binary, y binary, held binary, lang array<string>, n bigint, n_toxic bigint, n_train bigint, n_train_toxic bigint"
-    return written(rows.groupBy("pack").cogroup(marks.groupBy("pack")).applyInArrow(together, schema), "packs")
+    out = written(rows.groupBy("pack").cogroup(marks.groupBy("pack")).applyInArrow(together, schema), "packs")
+    shared.destroy()
+    return out
 
 
 def _bit(name: str) -> Column:
@@ -393,7 +397,7 @@ def _bit(name: str) -> Column:
 def _bitmap(bits: DataFrame, name: str) -> np.ndarray:
     """2 ** SEEN_BITS bits, of which those in column `bit` are set. Texts of unlabelled ids are mostly left out by it before they are shuffled;
     the join decides."""
-    got = written(bits.groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")), name).toArrow()
+    got = written(bits.groupBy(F.shiftright("bit", 6).cast("int").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")), name).toArrow()
     out = np.zeros(1 << (SEEN_BITS - 6), np.int64)
     out[got.column("slot").to_numpy()] = got.column("bits").to_numpy()
     return out
@@ -463,11 +467,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, seed: int = 3) ->
             yield [pa.array(hit), pa.array(n[hit]), *(pa.array(x[hit, i]) for x in (ws_, qs_) for i in range(DIM))]
 
         own = table.filter(F.col("pack") == first) if k < ALONE else table
-        sums = _each(own, f, longs("id", "n", *ws, *qs)).groupBy("id").agg(*[F.sum(c).alias(c) for c in ["n", *ws, *qs]])
-        t = _gathered(sums, "changes")
-        shared.unpersist()
-        at = lambda names: np.stack([t.column(c).to_numpy() for c in names], 1)
-        return t.column("id").to_numpy(), t.column("n").to_numpy(), at(ws), at(qs)
+        mean = lambda c: (F.sum(c) / (F.sum("n") * F.lit(float(FIXED)))).cast("float").alias(c)
+        # The driver gets the means in single precision, which is all that it adds.
+        means = _each(own, f, longs("id", "n", *ws, *qs)).groupBy("id").agg(*[mean(c) for c in [*ws, *qs]]).withColumn("id", F.col("id").cast("int"))
+        t = _gathered(means, "changes")
+        shared.destroy()
+        return t.column("id").to_numpy(), *([t.column(c).to_numpy() for c in names] for names in (ws, qs))
 
     def judge(flat):
         shared = sc.broadcast(flat)
@@ -481,10 +486,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, seed: int = 3) ->
 
         counts = _each(table, f, pa.schema([("lang", pa.string()), *longs("y", "z", "n")])).groupBy("lang", "y", "z").agg(F.sum("n").alias("n"))
         t = _gathered(counts, "held_back")
-        shared.unpersist()
+        shared.destroy()
         return {(r["lang"], r["y"], r["z"]): r["n"] for r in t.to_pylist()}
 
+    del seen
     net = _rounds(changes, judge, ROUNDS, toxic / n, taught, rows, seed)
+    shared_seen.destroy()
     give_back()
     return net
 
